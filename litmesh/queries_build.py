@@ -1 +1,256 @@
-"""Queries of sources, resolution and enrichment."""
+"""Queries of sources, text operators, resolution and enrichment."""
+
+from __future__ import annotations
+
+import zlib
+
+from pyspark.sql import functions as F
+
+from litmesh.functions import kernels as K
+from litmesh.functions.references import section_udf
+from litmesh.operators import edges as E
+from litmesh.operators import items as I
+from litmesh.operators import resolve as X
+from litmesh.plans.build import Context, build
+from litmesh.queries import CURRENT, NS, REC, R, edges_of, items_of, joined, merged_of, norm_doi_sql
+from litmesh.session import stage, table
+from litmesh.sources import library as S
+from litmesh.streaming import edges as T
+
+
+def texts_of(s, d):
+    """Documents that belong to an attachment of a held item."""
+    a = table(s, d, "attachments").select("att_key", "parent_key").distinct()
+    return table(s, d, "documents").where("att_key is not null and text is not null").select("att_key", "text").join(a, "att_key").select("att_key", "parent_key", "text")
+
+
+def _values(s, d):
+    """The items as an attribute store, the way the library's database keeps them."""
+    i = I.current(table(s, d, "items"))
+    pairs = [("title", "title"), ("DOI", "doi"), ("date", "date"), ("publicationTitle", "publication"), ("volume", "volume"), ("pages", "pages")]
+    return i, i.select("item_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).alias("value")) for f, c in pairs])).alias("p")).select("item_id", "p.field", "p.value").where("value is not null")
+
+
+# --- sources -----------------------------------------------------------------
+
+
+@R.add("src1_pivot_items", f"WITH {CURRENT} SELECT item_id, key, item_type, title, doi, date, publication, volume, pages FROM cur WHERE title IS NOT NULL AND item_id % 17 <> 0 AND item_type <> 'note'")
+def _(s, d):
+    i, values = _values(s, d)
+    none = i.where("false").select("item_id")
+    return S.pivot_items(values, i.select("item_id", "key", "item_type"), i.where("item_id % 17 = 0").select("item_id"), none).select("item_id", "key", "item_type", "title", "doi", "date", "publication", "volume", "pages")
+
+
+@R.add("src2_ordered_creators", f"WITH {CURRENT} SELECT item_id, array_to_string(creators, '; ') AS creators FROM cur WHERE len(creators) > 0")
+def _(s, d):
+    links = I.current(table(s, d, "items")).select("item_id", F.posexplode("creators").alias("pos", "name"))
+    return S.ordered_creators(links).select("item_id", F.array_join("creators", "; ").alias("creators"))
+
+
+@R.add("src3_sorted_tags", f"WITH {CURRENT} SELECT item_id, array_to_string(list_sort(list_distinct(tags)), '; ') AS tags FROM cur WHERE len(tags) > 0")
+def _(s, d):
+    return S.sorted_tags(I.current(table(s, d, "items")).select("item_id", F.explode("tags").alias("tag"))).select("item_id", F.array_join("tags", "; ").alias("tags"))
+
+
+@R.add("src4_venue", f"WITH {CURRENT} SELECT item_id, coalesce(publication, journal_abbreviation, item_type) AS venue FROM cur")
+def _(s, d):
+    return I.current(table(s, d, "items")).select("item_id", F.coalesce("publication", "journal_abbreviation", "item_type").alias("venue"))
+
+
+@R.add("src5_attachments", "SELECT att_key, parent_key, count(*) AS n FROM attachments WHERE parent_key IN (SELECT key FROM items) AND path IN (SELECT path FROM attachments WHERE content_type = 'application/pdf') GROUP BY 1, 2")
+def _(s, d):
+    a = table(s, d, "attachments")
+    return S.existing_attachments(a, table(s, d, "items"), a.where("content_type = 'application/pdf'")).groupBy("att_key", "parent_key").agg(F.count("*").alias("n"))
+
+
+@R.add("src6_texts", "SELECT coalesce(a.att_key, b.att_key) AS att_key, length(coalesce(a.text, b.text)) AS n FROM (SELECT att_key, max(text) AS text FROM documents WHERE att_key IS NOT NULL AND source = 'fulltext' GROUP BY 1) a FULL JOIN (SELECT att_key, max(text) AS text FROM documents WHERE att_key IS NOT NULL AND source <> 'fulltext' GROUP BY 1) b USING (att_key)")
+def _(s, d):
+    doc = table(s, d, "documents").where("att_key is not null")
+    one = lambda c: doc.where(c).groupBy("att_key").agg(F.max("text").alias("text"))
+    return S.texts(one("source = 'fulltext'"), one("source <> 'fulltext'")).select("att_key", F.length("text").alias("n"))
+
+
+def _pdf_bytes(s, d):
+    """A small PDF for each attachment that names a DOI, one link in sight and one in a compressed stream."""
+    urls = table(s, d, "attachments").select("att_key", "parent_key").distinct().join(edges_of(s, d).where("to_key like 'doi:%'").groupBy(F.col("from_key").alias("parent_key")).agg(F.min("to_key").alias("a"), F.max("to_key").alias("b")), "parent_key")
+
+    @F.udf("binary")
+    def pdf(a: str, b: str) -> bytes:
+        packed = zlib.compress(f"1 0 <</S/URI/URI (https://doi.org/{b[4:]})>>".encode())
+        return f"%PDF-1.5\n<</S/URI/URI (https://doi.org/{a[4:]})>>\n<</Type/ObjStm/Filter/FlateDecode/Length {len(packed)}>>\nstream\n".encode() + packed + b"\nendstream\n%%EOF"
+
+    return urls.select("att_key", "parent_key", pdf("a", "b").alias("content"))
+
+
+@R.add("src7_pdf_uris")
+def _(s, d):
+    return S.uris_of(_pdf_bytes(s, d)).select("att_key", F.array_join(F.array_sort("uris"), " ").alias("uris"))
+
+
+@R.add("src9_collection", f"WITH {CURRENT}, m AS (SELECT key, unnest(collections) AS c FROM cur), t AS (SELECT DISTINCT c, split_part(c, ' ', 2) AS p FROM m) SELECT DISTINCT key FROM m JOIN t USING (c) WHERE p = 'thesis'")
+def _(s, d):
+    m = I.current(table(s, d, "items")).select("key", F.explode("collections").alias("collection"))
+    tree = m.select("collection").distinct().withColumn("parent", F.element_at(F.split("collection", " "), 2))
+    return S.collection_items(m, tree, "thesis")
+
+
+@R.add("src10_selection", "SELECT DISTINCT parent_key AS key FROM attachments WHERE content_type = 'application/pdf' AND parent_key IN (SELECT key FROM items)")
+def _(s, d):
+    a = table(s, d, "attachments")
+    picked = a.where("content_type = 'application/pdf'").select(F.col("att_key").alias("key")).distinct()
+    return S.selected_items(picked, table(s, d, "items").select("key").distinct(), a.select(F.col("att_key").alias("key"), "parent_key").distinct())
+
+
+@R.add("src11_records", f"WITH {REC} SELECT key, title, norm_doi, year FROM rec")
+def _(s, d):
+    return items_of(s, d).select("key", "title", "norm_doi", "year")
+
+
+def _openalex(s, d):
+    """The second source's works as a table: its described works of held items with what these cite."""
+    held = items_of(s, d).where("norm_doi is not null").select("key", "norm_doi")
+    refs = edges_of(s, d).where("via = 'openalex'").groupBy(F.col("from_key").alias("key")).agg(F.collect_set("to_key").alias("r"))
+    return held.join(refs, "key").select(F.concat(F.lit("https://openalex.org/W"), "key").alias("id"), F.col("norm_doi").alias("doi"), F.transform("r", lambda x: F.when(x.contains(":"), F.substring_index(x, ":", -1)).otherwise(F.concat(F.lit("https://openalex.org/W"), x))).alias("referenced_works"))
+
+
+_OA = f"h AS (SELECT norm_doi, arg_min(key, (seq, key)) AS key FROM rec WHERE norm_doi IS NOT NULL GROUP BY 1), w AS (SELECT r.key AS wk, h.key AS k FROM rec r JOIN h USING (norm_doi) WHERE r.key IN (SELECT from_key FROM edges WHERE via = 'openalex')), x AS (SELECT DISTINCT w.k AS f, CASE WHEN contains(e.to_key, ':') THEN list_last(string_split(split_part(e.to_key, ':', 2), '/')) ELSE 'W' || e.to_key END AS id FROM w JOIN edges e ON e.from_key = w.wk AND e.via = 'openalex')"
+
+
+@R.add("jn6_openalex", f"WITH {REC}, {_OA} SELECT f AS from_key, coalesce(w.k, 'openalex:' || id) AS to_key, count(*) AS n FROM x LEFT JOIN (SELECT 'W' || wk AS wid, min(k) AS k FROM w GROUP BY 1) w ON w.wid = id WHERE f <> coalesce(w.k, 'openalex:' || id) GROUP BY 1, 2")
+def _(s, d):
+    e = X.openalex_edges(_openalex(s, d), items_of(s, d))
+    return e.groupBy("from_key", "to_key").agg(F.count("*").alias("n"))
+
+
+@R.add("src13_page_lines")
+def _(s, d):
+    words = table(s, d, "journals").select((F.col("journal_id") % 10).cast("int").alias("page"), F.when(F.col("journal_id") % 2 == 0, 40.0).otherwise(320.0).alias("x"), (700.0 - 12 * F.floor(F.col("journal_id") / 20)).alias("y"), F.lit(200.0).alias("w"), F.col("name").alias("str"))
+    return S.page_lines(words)
+
+
+# --- text operators ----------------------------------------------------------
+
+
+@R.add("fn5_heal_dois")
+def _(s, d):
+    return table(s, d, "documents").select("doc_id", F.md5(K.heal_dois_udf("text")).alias("healed"))
+
+
+@R.add("fn9_norm_title")
+def _(s, d):
+    return table(s, d, "items").select("item_id", "seq", K.norm_title_udf("title").alias("norm_title"))
+
+
+@R.add("doc1_sections")
+def _(s, d):
+    return table(s, d, "documents").select("doc_id", section_udf("text").alias("s")).select("doc_id", "s.quality", F.length("s.text").alias("n"))
+
+
+@R.add("doc2_entries")
+def _(s, d):
+    docs = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("att_key"), F.col("library_key").alias("parent_key"), "text")
+    return X.entries(X.sections(docs)).select(F.col("att_key").alias("doc_id"), "pos", "layout", "style", "surname", "year", "title", "parse_confidence")
+
+
+@R.add("doc8_styles")
+def _(s, d):
+    docs = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("att_key"), F.col("library_key").alias("parent_key"), "text")
+    return X.entries(X.sections(docs)).groupBy("style", "layout").agg(F.count("*").alias("entries"), F.count("title").alias("titled"))
+
+
+# --- resolution --------------------------------------------------------------
+
+
+@R.add("jn1_pdf_links", f"WITH {REC}, ix AS (SELECT norm_doi AS doi, arg_max(key, (seq, key)) AS key FROM rec WHERE norm_doi IS NOT NULL GROUP BY 1), u AS (SELECT DISTINCT from_key, {norm_doi_sql('substr(to_key, 5)')} AS doi FROM edges WHERE to_key LIKE 'doi:%' UNION SELECT from_key, r.norm_doi FROM edges e JOIN rec r ON r.key = e.to_key WHERE r.norm_doi IS NOT NULL), n AS (SELECT from_key, count(*) AS n FROM u WHERE doi IS NOT NULL GROUP BY 1), x AS (SELECT u.from_key, u.doi, r.norm_doi AS own FROM u JOIN n USING (from_key) LEFT JOIN rec r ON r.key = u.from_key WHERE u.doi IS NOT NULL AND NOT coalesce(u.doi = r.norm_doi, false)) SELECT x.from_key, coalesce(ix.key, 'doi:' || x.doi) AS to_key, count(*) AS n FROM x LEFT JOIN ix USING (doi) WHERE ix.key IS NULL OR ix.key <> x.from_key GROUP BY 1, 2")
+def _(s, d):
+    i = items_of(s, d)
+    e = edges_of(s, d)
+    links = e.where("to_key like 'doi:%'").select("from_key", F.substring("to_key", 5, 1000).alias("u")).unionByName(e.join(i.select(F.col("key").alias("to_key"), "norm_doi"), "to_key").where("norm_doi is not null").select("from_key", F.concat(F.lit("https://doi.org/"), "norm_doi").alias("u")))
+    uris = links.groupBy(F.col("from_key").alias("parent_key")).agg(F.collect_set("u").alias("uris")).withColumn("att_key", F.concat(F.lit("A"), "parent_key"))
+    return X.pdf_links(uris, i, I.by_doi(i)).groupBy("from_key", "to_key").agg(F.count("*").alias("n"))
+
+
+@R.add("jn2_text_doi")
+def _(s, d):
+    i = items_of(s, d)
+    return X.text_doi(X.sections(texts_of(s, d)), i, I.by_doi(i)).select("from_key", "to_key", "confidence").distinct()
+
+
+@R.add("jn3_title_match")
+def _(s, d):
+    return X.title_match(X.sections(texts_of(s, d)), items_of(s, d)).select("from_key", "to_key", "confidence").distinct()
+
+
+@R.add("jn4_locator_match")
+def _(s, d):
+    return X.locator_match(X.sections(texts_of(s, d)), items_of(s, d)).select("from_key", "to_key", "confidence").distinct()
+
+
+def _parsed(s, d):
+    """Described works as if parsed from the reference sections of the works that cite them."""
+    cites = edges_of(s, d).select("from_key", F.col("to_key").alias("key")).distinct()
+    w = table(s, d, "described").select("key", "title", F.get("creators", 0).alias("surname"), "year", F.when(F.col("key").startswith("doi:"), F.substring("key", 5, 1000)).alias("doi"))
+    return cites.join(w, "key").select(F.concat(F.lit("A"), "from_key").alias("att_key"), F.col("from_key").alias("parent_key"), F.lit("numbered").alias("quality"), "title", "surname", "year", "doi", F.lit(None).cast("string").alias("arxiv_id"), F.lit(0.8).alias("parse_confidence"))
+
+
+@R.add("jn5_ref_strings")
+def _(s, d):
+    return X.resolve_entries(_parsed(s, d), items_of(s, d)).select("from_key", "to_key", "confidence").distinct()
+
+
+@R.add("udf5_described_by")
+def _(s, d):
+    return X.described_by(X.resolve_entries(_parsed(s, d), items_of(s, d))).select("key", "title", joined("creators"), "year", joined("source"))
+
+
+@R.add("jn7_enrich", """WITH a AS (SELECT key, CASE WHEN year % 2 = 0 THEN title END AS title, creators, year, venue, CASE WHEN year % 3 <> 0 THEN cited_by_global END AS g, gone FROM described WHERE starts_with(key, 'openalex:')),
+b AS (SELECT key, title, creators, year, venue, cited_by_global AS g, gone FROM described)
+SELECT b.key, CASE WHEN a.key IS NULL OR a.title IS NULL OR a.g IS NULL THEN coalesce(nullif(a.title, ''), nullif(b.title, '')) ELSE a.title END AS title,
+CASE WHEN a.key IS NULL OR a.title IS NULL OR a.g IS NULL THEN coalesce(a.g, b.g) ELSE a.g END AS cited_by_global,
+coalesce(a.gone, false) OR ((a.key IS NULL OR a.title IS NULL OR a.g IS NULL) AND b.gone) AS gone,
+CASE WHEN a.key IS NULL THEN 'second' WHEN a.title IS NULL OR a.g IS NULL THEN 'first,second' ELSE 'first' END AS source FROM b LEFT JOIN a USING (key)""")
+def _(s, d):
+    w = table(s, d, "described")
+    first = w.where("key like 'openalex:%'").select("key", F.when(F.col("year") % 2 == 0, F.col("title")).alias("title"), "creators", "year", "venue", F.when(F.col("year") % 3 != 0, F.col("cited_by_global")).alias("cited_by_global"), "gone", F.array(F.lit("first")).alias("source"))
+    second = w.select("key", "title", "creators", "year", "venue", "cited_by_global", "gone", F.array(F.lit("second")).alias("source"))
+    return X.enrich(w, (first, ("openalex",)), (second, ("openalex", "ref", "doi", "arxiv"))).select("key", "title", "cited_by_global", "gone", joined("source"))
+
+
+@R.add("jn8_describe", "WITH a AS (SELECT key, title, year FROM described WHERE list_contains(source, 'openalex')), b AS (SELECT key, upper(title) AS title, year + 1 AS year FROM described WHERE list_contains(source, 'ref-strings')) SELECT key, coalesce(a.title, b.title) AS title, coalesce(a.year, b.year) AS year FROM a FULL JOIN b USING (key)")
+def _(s, d):
+    w = table(s, d, "described").select("key", "title", "creators", "year", "source")
+    a, b = w.where(F.array_contains("source", "openalex")), w.where(F.array_contains("source", "ref-strings")).withColumn("title", F.upper("title")).withColumn("year", F.col("year") + 1)
+    return X.describe_nodes(a, b).select("key", "title", "year")
+
+
+@R.add("jn9_rekey_by_doi")
+def _(s, d):
+    i = items_of(s, d)
+    known = table(s, d, "described").where("key like 'openalex:%'").join(i.select(F.lower("title").alias("_t"), "norm_doi").where("norm_doi is not null").groupBy("_t").agg(F.min("norm_doi").alias("doi")), F.lower("title") == F.col("_t")).select("key", "doi")
+    m = stage(merged_of(s, d))
+    return E.rekey(m, E.by_known_doi(m.select(F.col("to_key").alias("key")).distinct(), known, i)).select("from_key", "to_key", "confidence", joined("via"))
+
+
+@R.add("plan_build")
+def _(s, d):
+    """The whole build over the library's documents, every offline strategy, parsed references too."""
+    a = table(s, d, "attachments").select("att_key", "parent_key").distinct()
+    uris = S.uris_of(_pdf_bytes(s, d)).join(a, "att_key")
+    g = build(Context(items_of(s, d), X.sections(texts_of(s, d)), uris), only=["pdf-links", "text-doi", "title-match", "locator-match", "ref-strings"])
+    return g.edges.select("from_key", "to_key", "confidence", joined("via"))
+
+
+# --- streams -----------------------------------------------------------------
+
+
+@R.add("str1_merged", "SELECT from_key, to_key, max(confidence) AS confidence, array_to_string(list_sort(list(DISTINCT via)), ',') AS via FROM edges WHERE from_key <> to_key GROUP BY 1, 2")
+def _(s, d):
+    return T.merged_stream(edges_of(s, d)).select("from_key", "to_key", "confidence", joined("via"))
+
+
+@R.add("str2_windows", "SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def _(s, d):
+    return T.windowed_counts(table(s, d, "events")).select("start", "event_type", "n", F.round("total", 6).alias("total"))
+
+
+del NS
