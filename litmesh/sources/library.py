@@ -89,7 +89,7 @@ def scan_uris(data: bytes | None) -> list[str]:
 
 
 def pdf_uris(spark: SparkSession, path: str) -> DataFrame:
-    """(path, uris) of the PDFs under a folder; files over MOST_BYTES are not read at all."""
+    """(path, uris) of the PDFs under a folder; files over MOST_BYTES are not read at all, empty ones are not listed."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= MOST_BYTES)
 
     def scan(frames):
