@@ -3,8 +3,8 @@
 Method: latent semantic retrieval. Passages are cut into segments; their TF-IDF matrix, with document
 frequencies of the whole corpus, gets a randomised SVD whose products run over the segments in tasks.
 Every document is read in overlapping windows of words, each is projected into the latent space, and
-segments whose cosine with a window reaches `least_cosine` are candidates. Candidates are checked by
-a longest common subsequence made of runs of words, and by the passage's answers (its names and
+segments whose cosine with a window reaches `least_cosine` are candidates. Candidates that share a few
+runs of words with the passage are checked by a longest common subsequence made of runs, and by the passage's answers (its names and
 numbers, the words that tell it from others of the same mould).
 
 Word sequences of a passage that very many documents carry are stock and count for nothing; that is
@@ -19,8 +19,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from difflib import SequenceMatcher
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +31,17 @@ from litmesh.llm.textnorm import WHOLE
 from litmesh.session import stage
 
 WORD = re.compile(r"[a-z0-9]+|[^\W_a-z0-9]+")
+FOREIGN = re.compile(r"[^\W\x00-\x7f]")  # letters and digits that are not ASCII
+PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 BROKEN = re.compile(r"(?<=\w)[-­‐]\s*\n\s*(?=\w)")
 MARKS = re.compile("[̀-ͯ]")
 BLOCK = 16  # words; a window is two blocks, so any 17 words in a row lie within one
 SHINGLE = 5
+RUN, LEAST_RUNS = 4, 4  # a lightly edited stretch keeps at least so many (overlapping) runs of so many words
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
-def tokens(text: str | None) -> list[str]:
+def tokens(text: str | None) -> list[bytes]:
     """Lower-case words without accents; a word broken at a line's end is one word."""
     if not text:
         return []
@@ -46,7 +49,9 @@ def tokens(text: str | None) -> list[str]:
         text = BROKEN.sub("", text)
     if not text.isascii():
         text = MARKS.sub("", unicodedata.normalize("NFKD", text.translate(WHOLE)))
-    return WORD.findall(text.lower())
+        if FOREIGN.search(text):
+            return [w.encode() for w in WORD.findall(text.lower())]
+    return text.encode("ascii", "replace").translate(PLAIN).split()
 
 
 def _shingles(ids: np.ndarray) -> np.ndarray:
@@ -73,10 +78,11 @@ class Passages:
         shingles = [_shingles(x) for x in self.ids]
         self.shingles = np.unique(np.concatenate(shingles)) if shingles else np.zeros(0, np.uint64)
         self.stock = [np.zeros(len(x), bool) for x in self.ids]
+        self.runs: dict[tuple, set[int]] = {}
         self.answers = [frozenset(self.vocabulary[w] for w in ws) for ws in (self._answers(t) for _, t in sorted(rows))]
 
     @staticmethod
-    def _answers(text: str) -> set[str]:
+    def _answers(text: str) -> set[bytes]:
         """Numbers, and words with a capital that do not open a sentence."""
         found = re.findall(r"(?<![.!?:]\s)(?<!^)\b[^\W\d_a-z][^\W_]*|\d+", text or "")
         return {w for x in found for w in tokens(x)}
@@ -87,6 +93,11 @@ class Passages:
             for i in np.flatnonzero(np.isin(_shingles(ids), common)):
                 stock[i : i + SHINGLE] = True
 
+        for p, (ids, stock) in enumerate(zip(self.ids, self.stock)):
+            for i in range(len(ids) - RUN + 1):
+                if not stock[i : i + RUN].any():
+                    self.runs.setdefault(tuple(ids[i : i + RUN].tolist()), set()).add(p)
+
     def segments(self) -> list[tuple[int, list[int]]]:
         """(passage number, ids) of BLOCK words each, half overlapping, without stock."""
         out = []
@@ -141,7 +152,7 @@ def aligned(doc: np.ndarray, passage: np.ndarray, stock: np.ndarray, *, gap: int
 
     Sentences of one mould share many words in order; a copy has few others in between, so a chain
     ends where less than `density` of the words it spans, on either side, would be common."""
-    best, chain, last, origin, common = (0, 0, 0, 0), (0, 0, 0, 0), None, (0, 0), 0
+    best, link, last, origin, common = (0, 0, 0, 0), (0, 0, 0, 0), None, (0, 0), 0
     for i, j, n in SequenceMatcher(None, doc.tolist(), passage.tolist(), autojunk=False).get_matching_blocks():
         if n < 2:
             continue
@@ -149,80 +160,99 @@ def aligned(doc: np.ndarray, passage: np.ndarray, stock: np.ndarray, *, gap: int
         run = own if own == n else max((len(x) for x in "".join("01"[bool(s)] for s in stock[j : j + n]).split("1")), default=0)
         spans = max(i + n - origin[0], j + n - origin[1])
         if last is not None and i - last[0] <= gap and j - last[1] <= gap and common + n >= density * spans:
-            chain, common = (chain[0] + own, max(chain[1], run), chain[2], i + n), common + n
+            link, common = (link[0] + own, max(link[1], run), link[2], i + n), common + n
         else:
-            chain, origin, common = (own, run, i, i + n), (i, j), n
+            link, origin, common = (own, run, i, i + n), (i, j), n
         last = (i + n, j + n)
-        best = max(best, chain)
+        best = max(best, link)
     return best
 
 
+def _windows(ids: np.ndarray, offsets: np.ndarray, embed: np.ndarray, norm2: np.ndarray):
+    """Batches of (document, start, projection, length) of overlapping windows of two blocks.
+
+    Words outside the vocabulary have no place in the latent space: they are left out of the sums and
+    count for a window's length only.
+    """
+    lengths = np.diff(offsets)
+    n_blocks = (lengths + BLOCK - 1) // BLOCK
+    doc_of = np.repeat(np.arange(len(lengths)), n_blocks)
+    first = np.cumsum(n_blocks) - n_blocks
+    starts = offsets[:-1][doc_of] + (np.arange(len(doc_of)) - first[doc_of]) * BLOCK
+    ends = np.minimum(starts + BLOCK, offsets[1:][doc_of])
+    for at in range(0, len(starts), 4096):
+        stop = min(at + 4097, len(starts))  # one block more, for the last window
+        piece, cuts = ids[starts[at] : ends[stop - 1]], starts[at:stop] - starts[at]
+        energy = np.add.reduceat(norm2[piece], cuts)
+        known = np.flatnonzero(piece)
+        vectors = np.zeros((stop - at, embed.shape[1]), np.float32)
+        if len(known):
+            places = np.searchsorted(known, np.r_[cuts, len(piece)])
+            full = np.flatnonzero(places[1:] > places[:-1])
+            vectors[full] = np.add.reduceat(embed[piece[known]], places[full], axis=0)
+        same = np.flatnonzero(doc_of[at : stop - 1] == doc_of[at + 1 : stop])
+        x, e = vectors.copy(), energy.copy()
+        x[same] += vectors[same + 1]
+        e[same] += energy[same + 1]
+        rows = np.arange(min(4096, stop - at))
+        yield doc_of[at + rows], starts[at + rows], x[rows], np.sqrt(np.maximum(e[rows], 1e-9))
+
+
 def _searcher(shared, least_cosine: float, least_words: int):
     def search(batches):
-        passages, embed, norm2, queries, of, _ = shared.value
-        out = []
+        passages, embed, norm2, queries, of = shared.value
         for batch in batches:
+            out: list[tuple] = []
             column = batch.column(1)
             offsets = column.offsets.to_numpy().astype(np.int64)
             ids = column.values.to_numpy(zero_copy_only=False)
             doc_ids = batch.column(0).to_pylist()
-            base, lengths = offsets[0], np.diff(offsets)
-            n_blocks = (lengths + BLOCK - 1) // BLOCK
-            doc_of = np.repeat(np.arange(len(lengths)), n_blocks)
-            first = np.cumsum(n_blocks) - n_blocks
-            starts = offsets[:-1][doc_of] + (np.arange(len(doc_of)) - first[doc_of]) * BLOCK
-            ends = np.minimum(starts + BLOCK, offsets[1:][doc_of])
-            found: set[tuple[int, int, int]] = set()
-            for at in range(0, len(starts), 4096):
-                stop = min(at + 4097, len(starts))  # one block more, for the last window
-                lo, hi = starts[at], ends[stop - 1]
-                piece = ids[lo:hi]
-                cuts = starts[at:stop] - lo
-                vectors = np.add.reduceat(embed[piece], cuts, axis=0)
-                energy = np.add.reduceat(norm2[piece], cuts)
-                same = doc_of[at : stop - 1] == doc_of[at + 1 : stop]
-                x, e = vectors.copy(), energy.copy()
-                x[: len(same)][same] += vectors[1:][same]
-                e[: len(same)][same] += energy[1:][same]
-                rows = np.arange(min(4096, len(x)))
-                x, e = x[rows], np.sqrt(np.maximum(e[rows], 1e-9))
+            found: dict[tuple[int, int], tuple[list[int], set[int]]] = {}
+            for docs, starts, x, length in _windows(ids, offsets, embed, norm2) if len(ids) else ():
                 # |projection| / |window| bounds every cosine, so windows below the least are out.
-                keep = np.linalg.norm(x, axis=1) >= least_cosine * e
-                if not keep.any():
+                near = np.flatnonzero(np.linalg.norm(x, axis=1) >= least_cosine * length)
+                if not len(near):
+                    continue
+                rows, segments = np.nonzero((x[near] / length[near, None]) @ queries >= least_cosine)
+                alike: dict[int, set[int]] = {}
+                for r, p in zip(rows.tolist(), of[segments].tolist()):
+                    alike.setdefault(r, set()).add(p)
+                for r, candidates in alike.items():
+                    d, start = int(docs[near[r]]), int(starts[near[r]])
+                    words = ids[start : min(start + 2 * BLOCK + RUN - 1, offsets[d + 1])].tolist()
+                    for i in range(len(words) - RUN + 1):
+                        for p in passages.runs.get(tuple(words[i : i + RUN]), ()):
+                            if p in candidates:
+                                places, runs = found.setdefault((d, p), ([], set()))
+                                runs.add(start + i)
+                                if not places or places[-1] != start:
+                                    places.append(start)
+            for (d, p), (places, runs) in found.items():
+                if len(runs) < LEAST_RUNS:
                     continue
-                rows = rows[keep]
-                cosines = (x[keep] / e[keep, None]) @ queries
-                r, c = np.nonzero(cosines >= least_cosine)
-                found.update(zip((doc_of[at + rows[r]]).tolist(), of[c].tolist(), (starts[at + rows[r]]).tolist()))
-            regions: dict[tuple[int, int], list[int]] = {}
-            for d, p, s in found:
-                regions.setdefault((d, p), []).append(s)
-            for (d, p), places in regions.items():
                 passage, stock = passages.ids[p], passages.stock[p]
-                span, wanted = len(passage), set(passage[~stock].tolist())
+                span, own = len(passage), set(passage[~stock].tolist())
                 lo = hi = None
                 best = (0, 0, 0, 0)
                 for s in sorted(places) + [None]:
                     if hi is not None and (s is None or s > hi + span):
                         a, b = max(offsets[d], lo - span), min(offsets[d + 1], hi + span)
-                        text = ids[a:b]
-                        if np.isin(text, list(wanted)).sum() >= least_words:
-                            x = aligned(text, passage, stock)
-                            if x[0] >= least_words and (not (answers := passages.answers[p] & wanted) or answers & set(text[x[2] : x[3]].tolist()) or x[1] >= least_words):
-                                best = max(best, x)
+                        x = aligned(ids[a:b], passage, stock)
+                        answers = passages.answers[p] & own
+                        if x[0] >= least_words and (not answers or x[1] >= least_words or answers & set(ids[a + x[2] : a + x[3]].tolist())):
+                            best = max(best, x)
                         lo = hi = None
                     if s is not None:
                         lo, hi = (s if lo is None else lo), s + 2 * BLOCK
                 if best[0]:
                     out.append((doc_ids[d], passages.keys[p], best[0], best[1], best[0] / max(1, int((~stock).sum()))))
-            del base
-        cols = list(zip(*out)) if out else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()))], ["doc_id", "eval_id", "words", "longest_run", "share"])
+            cols = list(zip(*out)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()))], ["doc_id", "eval_id", "words", "longest_run", "share"])
 
     return search
 
 
-def leaks(documents: DataFrame, eval_items: DataFrame, *, rank: int = 128, least_cosine: float = 0.25, least_words: int = 15, stock_share: float = 0.01, stock_least: int = 5, most_words: int = 2_000_000) -> DataFrame:
+def leaks(documents: DataFrame, eval_items: DataFrame, *, rank: int = 64, least_cosine: float = 0.35, least_words: int = 15, stock_share: float = 0.01, stock_least: int = 5, most_words: int = 2_000_000) -> DataFrame:
     """(doc_id, eval_id, words, longest_run, share): documents that carry a passage or a stretch of it.
 
     words counts the passage's words found in order, in runs, stock ones left out; share relates
@@ -242,10 +272,11 @@ def leaks(documents: DataFrame, eval_items: DataFrame, *, rank: int = 128, least
     def encode(batches):
         get = shared_words.value.get
         for batch in batches:
-            ids = [np.array([get(w, 0) for w in tokens(t)], np.int32) for t in batch.column(1).to_pylist()]
-            offsets = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum([len(x) for x in ids], out=offsets[1:])
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+            words = [tokens(t) for t in batch.column(1).to_pylist()]
+            offsets = np.zeros(len(words) + 1, np.int32)
+            np.cumsum([len(x) for x in words], out=offsets[1:])
+            ids = np.fromiter(map(get, chain.from_iterable(words), repeat(0)), np.int32, int(offsets[-1]))
+            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), column], ["doc_id", "ids"])
 
     coded = stage(documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(encode, "doc_id long, ids array<int>"))
@@ -293,7 +324,7 @@ def leaks(documents: DataFrame, eval_items: DataFrame, *, rank: int = 128, least
     queries = np.stack([_weights(np.array(s), terms, size) @ space for _, s in segments])
     queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
     embed = (terms[:, None] * space).astype(np.float32)
-    shared = spark.sparkContext.broadcast((passages, embed, (idf**2).astype(np.float32), np.ascontiguousarray(queries.T.astype(np.float32)), np.array([p for p, _ in segments]), Counter()))
+    shared = spark.sparkContext.broadcast((passages, embed, (idf**2).astype(np.float32), np.ascontiguousarray(queries.T.astype(np.float32)), np.array([p for p, _ in segments])))
     found = coded.mapInArrow(_searcher(shared, least_cosine, least_words), "doc_id long, eval_id long, words int, longest_run int, share double")
     best = found.groupBy("doc_id", "eval_id").agg(F.max(F.struct("words", "longest_run", "share")).alias("m"))
     return best.select("doc_id", "eval_id", "m.*")
