@@ -79,12 +79,12 @@ class Passages:
         self.shingles = np.unique(np.concatenate(shingles)) if shingles else np.zeros(0, np.uint64)
         self.stock = [np.zeros(len(x), bool) for x in self.ids]
         self.runs: dict[tuple, set[int]] = {}
-        self.answers = [frozenset(self.vocabulary[w] for w in ws) for ws in (self._answers(t) for _, t in sorted(rows))]
+        self.answers = [frozenset(self.vocabulary[w] for w in ws if w in self.vocabulary) for ws in (self._answers(t) for _, t in sorted(rows))]
 
     @staticmethod
     def _answers(text: str) -> set[bytes]:
         """Numbers, and words with a capital that do not open a sentence."""
-        found = re.findall(r"(?<![.!?:]\s)(?<!^)\b[^\W\d_a-z][^\W_]*|\d+", text or "")
+        found = re.findall(r"(?<![.!?:]\s)(?<!^)\b[^\W\d_a-z][^\W_]*|\b\d+\b", text or "")
         return {w for x in found for w in tokens(x)}
 
     def mark_stock(self, df: np.ndarray, n_docs: int, share: float, least: int) -> None:
@@ -252,7 +252,7 @@ def _searcher(shared, least_cosine: float, least_words: int):
     return search
 
 
-def leaks(documents: DataFrame, eval_items: DataFrame, *, rank: int = 64, least_cosine: float = 0.35, least_words: int = 15, stock_share: float = 0.01, stock_least: int = 5, most_words: int = 2_000_000) -> DataFrame:
+def leaks(documents: DataFrame, eval_items: DataFrame, *, rank: int = 64, least_cosine: float = 0.35, least_words: int = 15, stock_share: float = 0.015, stock_least: int = 5, most_words: int = 2_000_000) -> DataFrame:
     """(doc_id, eval_id, words, longest_run, share): documents that carry a passage or a stretch of it.
 
     words counts the passage's words found in order, in runs, stock ones left out; share relates

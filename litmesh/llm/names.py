@@ -102,7 +102,7 @@ def phonetic(word: str) -> str:
 def keys(kind: str, words: str) -> list[str]:
     """Blocks of a name with all words: the rest as it is, the phonetic code of one word but for a position."""
     tokens = words.split()
-    out = set()
+    out = {f"o#{tokens[0]}|{tokens[1]}"} if kind == "o" else set()  # the topic's words may all be shortened
     for i, token in enumerate(tokens):
         rest = " ".join(tokens[:i] + tokens[i + 1 :])
         if kind == "o" and i == 1:
@@ -129,12 +129,20 @@ def _keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array([n for n, ks in zip(nodes, found) for _ in ks], pa.string()), pa.array([k for ks in found for k in ks], pa.string())], ["node", "key"])
 
 
+def _same_topic(p: str, q: str) -> bool:
+    return min(len(p), len(q)) >= 3 and (p.startswith(q) or q.startswith(p)) or min(len(p), len(q)) >= 4 and edits(p, q, 2) <= (1 if max(len(p), len(q)) < 8 else 2)
+
+
 def _compare(batches):
     """(a, b) readings of one block -> those whose one differing word is alike: (a, b, word of a, word of b)."""
     for batch in batches:
         out: list[tuple] = []
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             x, y = a.split("|", 1)[1].split(), b.split("|", 1)[1].split()
+            if a[0] == b[0] == "o" and x[:2] == y[:2]:
+                if len(x) == len(y) and all(_same_topic(p, q) for p, q in zip(x[2:], y[2:])):
+                    out.append((a, b, "", ""))
+                continue
             left, right = list(x), list(y)
             for w in x:
                 if w in right:
@@ -142,9 +150,7 @@ def _compare(batches):
                     right.remove(w)
             if len(left) == len(right) == 1:
                 p, q = left[0], right[0]
-                if a[0] == "o" and min(len(p), len(q)) >= 3 and (p.startswith(q) or q.startswith(p)):
-                    out.append((a, b, "", ""))
-                elif min(len(p), len(q)) >= 4 and edits(p, q, 2) <= (1 if max(len(p), len(q)) < 8 else 2) and jaro_winkler(p, q) >= 0.85:
+                if min(len(p), len(q)) >= 4 and edits(p, q, 2) <= (1 if max(len(p), len(q)) < 8 else 2) and jaro_winkler(p, q) >= 0.85:
                     out.append((a, b, p, q))
         cols = list(zip(*out)) if out else [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["a", "b", "p", "q"])
