@@ -152,8 +152,8 @@ def compare_strategies(edges: DataFrame) -> DataFrame:
     sets = edges.where(F.col("from_key") != F.col("to_key")).groupBy("from_key", "to_key").agg(F.collect_set("via").alias("v"))
     cells = sets.select(F.explode("v").alias("via_a"), "v").select("via_a", F.explode("v").alias("via_b"), (F.size("v") == 1).alias("alone"))
     out = cells.groupBy("via_a", "via_b").agg(F.count("*").alias("shared"), F.count_if("alone").alias("only_a"))
-    union = F.broadcast(sets.agg(F.count("*").alias("n")))  # one row
-    return out.crossJoin(union).select("via_a", "via_b", "shared", "only_a", F.round(F.col("shared") / F.col("n"), 6).alias("share"))
+    union = max(1, sets.count())
+    return out.select("via_a", "via_b", "shared", "only_a", F.round(F.col("shared") / F.lit(union), 6).alias("share"))
 
 
 def node_keys(merged: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ def accuracy(predicted: DataFrame, truth: DataFrame, traps: DataFrame | None = N
     """
     p = predicted.select("strategy", "from_key", "to_key").distinct()
     t = truth.select("from_key", "to_key").distinct().withColumn("true", F.lit(True))
-    n = F.broadcast(t.agg(F.count("*").alias("_n")))  # one row
+    n = F.lit(t.count())
     out = p.join(t, ["from_key", "to_key"], "left")
     trapped = F.lit(0)
     if traps is not None:
@@ -23,7 +23,7 @@ def accuracy(predicted: DataFrame, truth: DataFrame, traps: DataFrame | None = N
         every = traps.where("to_key = '*'").select("from_key").distinct().withColumn("_e", F.lit(1))
         out = out.join(one, ["from_key", "to_key"], "left").join(every, "from_key", "left")
         trapped = F.count_if(F.col("_t").isNotNull() | F.col("_e").isNotNull())
-    out = out.groupBy("strategy").agg(F.count("*").alias("predicted"), F.count("true").alias("tp"), (trapped if traps is not None else F.max(F.lit(0)).cast("long")).alias("traps")).crossJoin(n)
+    out = out.groupBy("strategy").agg(F.count("*").alias("predicted"), F.count("true").alias("tp"), (trapped if traps is not None else F.max(F.lit(0)).cast("long")).alias("traps")).withColumn("_n", n)
     tp = F.col("tp")
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     return out.select("strategy", "predicted", "tp", (F.col("predicted") - tp).alias("fp"), (F.col("_n") - tp).alias("fn"), share(tp, F.col("predicted")).alias("precision"), share(tp, F.col("_n")).alias("recall"), share(2 * tp, F.col("predicted") + F.col("_n")).alias("f1"), "traps")

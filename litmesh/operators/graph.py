@@ -64,9 +64,10 @@ def modularity(pairs: DataFrame, communities: DataFrame, resolution: float = 1.0
     p = pairs.join(comm("a"), "a").join(comm("b"), "b")
     ends = p.select(F.col("ca").alias("c"), "w", F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0.0).alias("inside")).unionByName(p.select(F.col("cb").alias("c"), "w", F.lit(0.0).alias("inside")))
     per = ends.groupBy("c").agg(F.sum("w").alias("tot"), F.sum("inside").alias("inside"))
-    m = per.agg(F.sum("tot").alias("two_m"))
-    share = F.col("inside") / (F.col("two_m") / 2) - resolution * F.pow(F.col("tot") / F.col("two_m"), F.lit(2.0))
-    return per.crossJoin(F.broadcast(m)).agg(F.coalesce(F.sum(share), F.lit(0.0)).alias("modularity"), F.count("*").alias("communities"))  # m is one row
+    # With sums over communities of tot, inside and tot squared the total weight factors out.
+    sums = per.agg(F.sum("tot").alias("two_m"), F.sum("inside").alias("inside"), F.sum(F.col("tot") * F.col("tot")).alias("squares"), F.count("*").alias("communities"))
+    q = F.col("inside") / (F.col("two_m") / 2) - resolution * F.col("squares") / (F.col("two_m") * F.col("two_m"))
+    return sums.select(F.coalesce(q, F.lit(0.0)).alias("modularity"), "communities")
 
 
 def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
@@ -196,10 +197,10 @@ def term_scores(communities: DataFrame, titles: DataFrame) -> DataFrame:
     docs = communities.join(titles.select("key", "title"), "key", "left")
     terms = docs.select("comm", F.explode(ids.title_terms(F.col("title"), TITLE_STOP)).alias("term"))
     size = docs.groupBy("comm").agg(F.count("*").alias("size"))
-    n_docs = docs.agg(F.count("*").alias("docs"))
+    n_docs = F.lit(communities.count())
     tf = terms.groupBy("comm", "term").agg(F.count("*").alias("n"))
     df = tf.groupBy("term").agg(F.sum("n").alias("df"))
-    out = tf.join(df, "term").join(size, "comm").crossJoin(F.broadcast(n_docs))  # n_docs is one row
+    out = tf.join(df, "term").join(size, "comm").withColumn("docs", n_docs)
     out = out.where(F.col("n") >= F.when(F.col("size") >= 4, 2).otherwise(1))
     return out.select("comm", "term", "n", "df", "size", (F.col("n") / F.col("size") * F.log(1 + F.col("docs") / F.col("df"))).alias("score"))
 
@@ -247,9 +248,10 @@ def gaps(edges: DataFrame, nodes: DataFrame, *, least: int = LEAST_GAP, limit: i
     known = nodes.groupBy("key").agg(F.max("cited_by_global").alias("cited_by_global"), F.bool_or(F.coalesce("gone", F.lit(False))).alias("gone"))
     found = counted.join(known, "key", "left").where(~F.coalesce("gone", F.lit(False)))
     found = found.select("key", "cited_by", "cited_by_global", scores.gap_score(F.col("cited_by"), F.col("cited_by_global")).alias("score"))
-    total = F.broadcast(found.agg(F.count("*").alias("total")))  # one row
+    found = stage(found)
+    total = found.count()
     ranked = found.orderBy(F.desc("score"), F.desc("cited_by"), "key")
-    return (ranked.limit(limit) if limit is not None else ranked).crossJoin(total)
+    return (ranked.limit(limit) if limit is not None else ranked).withColumn("total", F.lit(total).cast("long"))
 
 
 def gap_owners(edges: DataFrame, communities: DataFrame, gap_keys: DataFrame) -> DataFrame:

@@ -205,8 +205,8 @@ def _(s, d):
 @R.add("fn34_year_colour", "WITH y AS (SELECT DISTINCT year FROM described WHERE year IS NOT NULL), r AS (SELECT min(year) AS a, max(year) AS b FROM y), t AS (SELECT year, CASE WHEN b > a THEN (year - a)::DOUBLE / (b - a) ELSE 0.5::DOUBLE END AS t FROM y, r) SELECT year, CAST((16 + CAST(round((239 - 16) * t) AS INTEGER)) * 65536 + (32 + CAST(round((96 - 32) * t) AS INTEGER)) * 256 + 64 AS INTEGER) AS colour FROM t")
 def _(s, d):
     y = table(s, d, "described").where("year is not null").select("year").distinct()
-    r = F.broadcast(y.agg(F.min("year").alias("a"), F.max("year").alias("b")))  # one row
-    t = y.crossJoin(r).select("year", scores.year_position(F.col("year"), F.col("a"), F.col("b")).alias("t"))
+    a, b = y.agg(F.min("year"), F.max("year")).first()
+    t = y.select("year", scores.year_position(F.col("year"), F.lit(a), F.lit(b)).alias("t"))
     return t.select("year", scores.mix(F.lit(0x102040), F.lit(0xEF6040), F.col("t")).alias("colour"))
 
 
