@@ -19,7 +19,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from litmesh.session import stage
@@ -58,8 +58,8 @@ def token_counts(documents: DataFrame, vocabulary: str | None = None) -> DataFra
     return rows.mapInArrow(count, "doc_id long, source string, digest string, tokens long")
 
 
-def balance(sizes: DataFrame, targets: dict[str, float], most: dict[str, int], *, rounds: int = 60, tolerance: float = 1e-9) -> dict[str, float]:
-    """The dual's multipliers, in copies' log odds per mean token of the source.
+def balance(sizes: DataFrame, targets: dict[str, float], most: dict[str, int], *, rounds: int = 60, tolerance: float = 1e-9) -> dict[str, tuple[float, float, float]]:
+    """Of each source (base, multiplier, mean size): a text's log odds of a copy are base + multiplier * size / mean.
 
     `sizes` has (source, tokens, docs): a rate depends on source and size only, so that histogram
     holds all the dual needs. A step is halved while the constraint's error grows.
@@ -140,6 +140,7 @@ def mixture(documents: DataFrame, mix_targets: DataFrame, *, total: int | None =
 def shares(mix: DataFrame, mix_targets: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, n_texts, n_copies, tokens, share): the shares really reached, one row for each target."""
     got = mix.groupBy("source").agg(F.count("*").alias("n_texts"), F.sum("copies").alias("n_copies"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
-    whole = got.agg(F.sum("tokens").alias("_all"))
+    total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))  # over one row for each source
+    got = got.withColumn("share", F.col("tokens") / total)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return mix_targets.join(got, "source", "left").crossJoin(F.broadcast(whole)).select("source", "target_share", "max_repeats", zero("n_texts"), zero("n_copies"), zero("tokens"), F.coalesce(F.col("tokens") / F.col("_all"), F.lit(0.0)).alias("share"))  # `whole` is one row
+    return mix_targets.join(got, "source", "left").select("source", "target_share", "max_repeats", zero("n_texts"), zero("n_copies"), zero("tokens"), F.coalesce("share", F.lit(0.0)).alias("share"))
