@@ -47,6 +47,9 @@ def fold(word: str) -> str:
     return FOLD.sub(lambda m: FOLDED[m[0]], plain(word))
 
 
+SHORT = {fold(k): fold(v) for k, v in NICKNAMES.items()}
+
+
 def kind_of(word: str) -> str | None:
     for kind, stems in KINDS.items():
         if len(word) >= 3 and (kind.startswith(word) or any(word.startswith(s) for s in stems)) and (len(word) <= 6 or edits(word, kind, 2) <= 2):
@@ -56,7 +59,7 @@ def kind_of(word: str) -> str | None:
 
 def reading(name: str) -> tuple[str, str, str, str]:
     """(kind, words, short, mids): kind p(erson) or o(rganisation); sorted whole words joined by blanks;
-    the shortened or initial given name, '' if all words are whole; further initials."""
+    the shortened or initial given name, '' if all words are whole; further initials, of an organisation its acronym."""
     bare = re.sub(r"\([^)]*\)", " ", name).strip()
     tokens = WORDS.findall(bare)
     lower = [plain(t.rstrip(".")) for t in tokens]
@@ -66,7 +69,8 @@ def reading(name: str) -> tuple[str, str, str, str]:
         if at is not None and len(words) > 2:
             place = words[-1] if at == 0 and "," in bare else words[0]
             rest = [w for i, w in enumerate(words) if i != at and w != place]
-            return "o", " ".join([fold(place), kind_of(words[at]) or "", *sorted(rest)]), "", ""
+            kind = kind_of(words[at]) or ""
+            return "o", " ".join([fold(place), kind, *sorted(rest)]), "", kind[0] + "".join(w[0] for w in rest)
     head, comma, tail = bare.partition(",")
     given_part = set(range(len(WORDS.findall(head)), len(tokens))) if comma else set()
     long, initials, short = [], [], ""
@@ -82,7 +86,7 @@ def reading(name: str) -> tuple[str, str, str, str]:
             short = fold(word)
         else:
             w = fold(word)
-            long.append(NICKNAMES.get(w, w))
+            long.append(SHORT.get(w, w))
     if not short and initials and (len(long) < 2 or (comma and not any(len(tokens[i].rstrip(".")) > 1 for i in given_part)) or (not comma and _initials_first_or_last(tokens))):
         short, initials = initials[0], initials[1:]
     return "p", " ".join(sorted(long)), short, "".join(initials)
@@ -197,7 +201,13 @@ def name_classes(names: DataFrame, column: str = "name", *, rare: int = 3) -> Da
     one = met.groupBy("name").agg(F.max(F.struct("fit", "root")).alias("m"), F.min(F.struct(-F.col("fit"), "root")).alias("l"))
     joined = one.where((F.col("m.fit") == -F.col("l.col1")) & (F.col("m.root") == F.col("l.root")) | (F.col("m.fit") > 1) & (F.col("m.fit") == -F.col("l.col1")) & (F.col("m.root") == F.col("l.root"))).select("name", F.col("m.root").alias("root"))
     # Initials that meet no whole name are one person for each surname and first initial.
-    left = asked.join(met.select("name").distinct(), "name", "left_anti").select("name", F.concat(F.lit("i|"), "surname", F.lit("|"), "i").alias("root"))
+    lone = asked.join(met.select("name").distinct(), "name", "left_anti")
+    # Some are an organisation's place and acronym.
+    acronyms = read.where((F.col("kind") == "o") & whole).select(F.get(F.split("words", " "), 0).alias("surname"), F.col("mids").alias("acronym"), node.alias("node")).join(root, "node")
+    acronyms = acronyms.groupBy("surname", "acronym").agg(F.min("root").alias("root"), F.max("root").alias("other")).where("root = other").drop("other")
+    lone = stage(lone.withColumn("acronym", F.concat("short", "mids")).join(acronyms, ["surname", "acronym"], "left"))
+    joined = joined.unionByName(lone.where("root is not null").select("name", "root"))
+    left = lone.where("root is null").select("name", F.concat(F.lit("i|"), "surname", F.lit("|"), "i").alias("root"))
     by_whole = read.where(whole).select("name", node.alias("node")).join(root, "node").select("name", "root")
     classed = stage(by_whole.unionByName(joined).unionByName(left))
 

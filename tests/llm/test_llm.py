@@ -160,8 +160,9 @@ CLASSES = [
     ["van der Hatenudos, Ulrich", "Hatenudos, Ulrich van der", "Ulrich H. van der Hatenudos"],
     ["Nepevelös, Olivia", "Nepeveloes, Olivia", "Nepevelös, O.", "Liv Nepevelös"],
     ["Refimikow", "Refimikow, Wilhelmina", "REFIMIKOW"],
-    ["Gefanimek Agency for Catalysis", "Agency for Catalysis, Gefanimek", "Gefanimek Agcy Catal.", "GEFANIMEK AGENCY FOR CATALYSIS", "Gefanimek Agency of Catalysis (AC)"],
+    ["Gefanimek Agency for Catalysis", "Agency for Catalysis, Gefanimek", "Gefanimek Agcy Catal.", "GEFANIMEK AGENCY FOR CATALYSIS", "Gefanimek Agency of Catalysis (AC)", "Gefanimek AC"],
     ["Hoskesikek-Bek, Samuel", "Hoskesikek Bek,Samuel", "S. Hoskesikek-Bek"],
+    ["Silsatedin SC", "SILSATEDIN, Samuel", "Sam Silsatedin"],
     ["Tivestalek, Noor"],
     ["Tivestalek, Oskar", "O.L. Tivestalek"],
     ["—"],
