@@ -164,7 +164,7 @@ def name_classes(names: DataFrame, column: str = "name", *, rare: int = 3) -> Da
     """(name, class): distinct names, each with the class of its person or organisation.
 
     A misspelt word is rare: of two words that differ by few letters, one must occur in at most
-    `rare` distinct readings. Nulls are left out; a name without letters is a class of its own. The
+    `rare` distinct readings, or in a twentieth of the other's. Nulls are left out; a name without letters is a class of its own. The
     class is the least name that belongs to it.
     """
     distinct = names.select(F.col(column).alias("name")).where(F.col("name").isNotNull()).distinct()
@@ -182,7 +182,8 @@ def name_classes(names: DataFrame, column: str = "name", *, rare: int = 3) -> Da
     uses = nodes.select(F.explode(F.array_distinct(part)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     use = lambda c, n: uses.select(F.col("w").alias(c), F.col("n").alias(n))
     typed = alike.join(use("p", "np"), "p", "left").join(use("q", "nq"), "q", "left")
-    typed = typed.where((F.col("p") == "") | (F.least(F.coalesce("np", F.lit(0)), F.coalesce("nq", F.lit(0))) <= rare)).select("a", "b")
+    few, many = F.least(F.coalesce("np", F.lit(0)), F.coalesce("nq", F.lit(0))), F.greatest(F.coalesce("np", F.lit(0)), F.coalesce("nq", F.lit(0)))
+    typed = typed.where((F.col("p") == "") | (few <= F.greatest(F.lit(rare), many * 0.05))).select("a", "b")
     linked = components(typed)
     root = stage(nodes.join(linked, nodes["node"] == linked["node"], "left").select(nodes["node"], F.coalesce("root", nodes["node"]).alias("root")))
 
