@@ -6,11 +6,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from litmesh import queries as Q
 from litmesh.operators import edges as E
 from litmesh.operators import evaluate as V
 from litmesh.operators import export as X
 from litmesh.operators import filters as L
 from litmesh.operators import graph as G
+from litmesh.operators import items as I
 from litmesh.operators import resolve as R
 from litmesh.plans.build import Provider, Providers
 from litmesh.plans.view import ViewSpec
@@ -113,6 +115,29 @@ def test_louvain_finds_two_communities_whatever_the_order(spark):
     assert G.louvain(p.where("false")).count() == 0
 
 
+def test_coupling_queries_are_registered_over_the_whole_job(spark, sf):
+    q = Q.queries()
+    pairs = [(r.from_key, r.to_key) for r in spark.read.parquet(f"{sf}/edges.parquet").select("from_key", "to_key").distinct().collect()]
+    held = {r.key for r in spark.read.parquet(f"{sf}/items.parquet").select("key").distinct().collect()}
+    want = naive_coupling(pairs, held)
+    assert {(r.a, r.b): r.w for r in q["gr1_coupling_whole"](spark, sf).collect()} == pytest.approx(want, abs=1e-8)
+    coupled = spark.createDataFrame([(a, b, w) for (a, b), w in sorted(want.items())], "a string, b string, w double")
+    everyone = {k for p in want for k in p}
+    for name in ("gr2_louvain", "gr5_clusters"):
+        placed = q[name](spark, sf).select("key", "comm")
+        assert {r.key for r in placed.collect()} == everyone
+        assert G.modularity(coupled, placed).first().modularity == pytest.approx(G.modularity(coupled, G.louvain(coupled)).first().modularity, abs=0.01)
+    kinds = {r.key: r.item_type for r in I.current(spark.read.parquet(f"{sf}/items.parquet")).collect()}
+    ends, inside, total = {}, 0.0, 0.0
+    for (a, b), w in want.items():
+        total += w
+        inside += w * (kinds[a] == kinds[b])
+        for k in (a, b):
+            ends[kinds[k]] = ends.get(kinds[k], 0.0) + w
+    got = q["gr3_modularity_whole"](spark, sf).first()
+    assert (got.modularity, got.communities) == (pytest.approx(inside / total - sum((t / (2 * total)) ** 2 for t in ends.values()), abs=1e-5), len(ends))
+
+
 def test_names_and_gaps(spark):
     c = spark.createDataFrame([(f"k{i}", "A" if i < 4 else "B") for i in range(8)], "key string, comm string")
     t = spark.createDataFrame([(f"k{i}", "quantum error correction" if i < 4 else "protein folding landscapes") for i in range(8)], "key string, title string")
