@@ -149,8 +149,8 @@ def louvain(pairs: DataFrame, *, resolution: float = 1.0, largest: int = 2_000_0
 
     A work only ever joins a community next to it, and gains depend on the rest only by the total
     weight, so components are independent: each is one group, moved in ascending order of its keys. A
-    component of more than `largest` pairs is no group for one task; it is moved in synchronous
-    rounds of joins instead (`louvain_parallel`), with the same gain but another order of moves.
+    component of more than `largest` pairs is no group for one task; it is moved by joins instead
+    (`louvain_parallel`): the same gain, and levels until nothing changes, but another order of moves.
     """
     two_m = 2 * (pairs.agg(F.sum("w")).first()[0] or 0.0)
     rooted = stage(pairs.join(components(pairs), F.col("a") == F.col("key")).select("a", "b", "w", "root"))
@@ -168,28 +168,67 @@ def louvain(pairs: DataFrame, *, resolution: float = 1.0, largest: int = 2_000_0
     return local.unionByName(louvain_parallel(rooted.join(huge, "root", "left_semi").select("a", "b", "w"), two_m, resolution))
 
 
-def louvain_parallel(pairs: DataFrame, two_m: float, resolution: float = 1.0, rounds: int = 20) -> DataFrame:
-    """As `louvain`, by synchronous rounds: in each, a hashed half of the nodes may move, so that two neighbours rarely swap."""
-    both = stage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
-    degree = both.groupBy("a").agg(F.sum("w").alias("d"))
-    state = stage(degree.select(F.col("a").alias("key"), "d", F.col("a").alias("comm")))
-    for r in range(rounds):
-        total = state.groupBy("comm").agg(F.sum("d").alias("t"))
-        near = both.join(state.select(F.col("key").alias("b"), "comm"), "b").groupBy("a", "comm").agg(F.sum("w").alias("w"))
-        own = state.select(F.col("key").alias("a"), F.col("comm").alias("own"), "d")
-        options = near.unionByName(own.select("a", F.col("own").alias("comm"), F.lit(0.0).alias("w"))).groupBy("a", "comm").agg(F.sum("w").alias("w")).join(own, "a").join(total, "comm")
-        rest = F.col("t") - F.when(F.col("comm") == F.col("own"), F.col("d")).otherwise(0.0)
-        gain = F.col("w") - resolution * rest * F.col("d") / two_m
-        best = options.groupBy("a").agg(F.max_by("comm", F.struct(F.round(gain, 12), F.col("comm") == F.col("own"), "comm")).alias("next"))
-        moves = state.join(best, F.col("key") == F.col("a"))
-        turn = F.pmod(F.xxhash64("key", F.lit(r)), F.lit(2)) == 0
-        after = stage(moves.select("key", "d", F.when(turn, F.col("next")).otherwise(F.col("comm")).alias("comm"), (turn & (F.col("next") != F.col("comm"))).alias("moved")))
-        moved = after.where("moved").count()
-        state = after.drop("moved")
-        if not moved and r > 2:
+def louvain_parallel(pairs: DataFrame, two_m: float, resolution: float = 1.0) -> DataFrame:
+    """As `louvain`, by joins: the nodes move until none gains by it, then each community becomes a node, level by level until nothing changes."""
+    of = None
+    nodes = stage(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().withColumn("loop", F.lit(0.0)))
+    pairs = stage(pairs.groupBy("a", "b").agg(F.sum("w").alias("w")))
+    while True:
+        both = stage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
+        level = _move_parallel(both, nodes, two_m, resolution)
+        of = level if of is None else stage(of.select("key", F.col("comm").alias("_at")).join(level.select(F.col("key").alias("_at"), "comm"), "_at").select("key", "comm"))
+        if level.where("key <> comm").isEmpty():
             break
-    label = state.groupBy("comm").agg(F.min("key").alias("label"))
-    return state.join(label, "comm").select("key", F.col("label").alias("comm"))
+        comm = lambda c, k: level.select(F.col("key").alias(c), F.col("comm").alias(k))
+        ends = stage(both.join(comm("a", "x"), "a").join(comm("b", "y"), "b").groupBy("x", "y").agg(F.sum("w").alias("w")))
+        pairs = stage(ends.where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), "w"))
+        inside = nodes.join(level, "key").select("comm", "loop").unionByName(ends.where("x = y").select(F.col("x").alias("comm"), F.col("w").alias("loop")))
+        nodes = stage(inside.groupBy(F.col("comm").alias("key")).agg(F.sum("loop").alias("loop")))
+    label = of.groupBy("comm").agg(F.min("key").alias("label"))
+    return of.join(label, "comm").select("key", F.col("label").alias("comm"))
+
+
+def _move_parallel(both: DataFrame, nodes: DataFrame, two_m: float, resolution: float) -> DataFrame:
+    """One level of local moving: (key, comm), comm a node of the community.
+
+    A round moves, all at once, a hashed part of the nodes that would gain, a half at first. If that
+    lowers the modularity (neighbours swapped), it is taken back and half as many move; a single node,
+    the one that gains most, always raises it. The level ends when no node would gain.
+    """
+    degree = both.groupBy("a").agg(F.sum("w").alias("d"))
+    state = stage(nodes.join(degree, F.col("key") == F.col("a"), "left").select("key", (F.coalesce("d", F.lit(0.0)) + F.col("loop")).alias("d"), F.col("key").alias("comm")))
+
+    def height(state: DataFrame) -> float:
+        """What moves change of the modularity, times two_m."""
+        comm = lambda c, k: state.select(F.col("key").alias(c), F.col("comm").alias(k))
+        inside = both.join(comm("a", "x"), "a").join(comm("b", "y"), "b").where("x = y").agg(F.sum("w")).first()[0] or 0.0
+        return inside - resolution * (state.groupBy("comm").agg(F.sum("d").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0] or 0.0) / two_m
+
+    now, parts, r, wanted = height(state), 2, 0, None
+    while True:
+        if wanted is None:
+            total = state.groupBy("comm").agg(F.sum("d").alias("t"))
+            near = both.join(state.select(F.col("key").alias("b"), "comm"), "b").groupBy("a", "comm").agg(F.sum("w").alias("w"))
+            own = state.select(F.col("key").alias("a"), F.col("comm").alias("own"), "d")
+            options = near.unionByName(own.select("a", F.col("own").alias("comm"), F.lit(0.0).alias("w"))).groupBy("a", "comm").agg(F.sum("w").alias("w")).join(own, "a").join(total, "comm")
+            rest = F.col("t") - F.when(F.col("comm") == F.col("own"), F.col("d")).otherwise(0.0)
+            scored = options.select("a", "comm", (F.col("comm") == F.col("own")).alias("stays"), (F.col("w") - resolution * rest * F.col("d") / two_m).alias("gain"))
+            best = scored.groupBy("a").agg(F.max_by("comm", F.struct("gain", "comm")).alias("next"), F.max("gain").alias("most"), F.max(F.when(F.col("stays"), F.col("gain"))).alias("stay"))
+            wanted = stage(best.where(F.col("most") > F.col("stay") + 1e-9).select("a", "next", (F.col("most") - F.col("stay")).alias("gain")))
+            n = wanted.count()
+        if not n:
+            return state.select("key", "comm")
+        alone = parts > 2 * n
+        movers = wanted.orderBy(F.desc("gain"), "a").limit(1) if alone else wanted.where(F.pmod(F.xxhash64("a", F.lit(r)), F.lit(parts)) == 0)
+        after = stage(state.join(movers.select(F.col("a").alias("key"), "next"), "key", "left").select("key", "d", F.coalesce("next", "comm").alias("comm")))
+        r += 1
+        then = height(after)
+        if then > now + 1e-12:
+            state, now, parts, wanted = after, then, max(2, parts // 2), None
+        elif alone:
+            return state.select("key", "comm")  # what it would gain is lost in rounding
+        else:
+            parts *= 2
 
 
 def term_scores(communities: DataFrame, titles: DataFrame) -> DataFrame:

@@ -115,6 +115,18 @@ def test_louvain_finds_two_communities_whatever_the_order(spark):
     assert G.louvain(p.where("false")).count() == 0
 
 
+def test_both_louvains_go_through_all_levels(spark):
+    # A ring of 24 cliques of three: single moves alone end with the cliques, the next level joins them in pairs or more.
+    p = [(f"c{i:02d}{x}", f"c{i:02d}{y}", 1.0) for i in range(24) for x, y in ("ab", "ac", "bc")] + [(f"c{i:02d}a", f"c{(i + 1) % 24:02d}b", 1.0) for i in range(24)]
+    p = spark.createDataFrame([(*sorted((a, b)), w) for a, b, w in p], "a string, b string, w double")
+    local, parallel = G.louvain(p), G.louvain(p, largest=10)
+    q, r = G.modularity(p, local).first(), G.modularity(p, parallel).first()
+    assert {k for k, _ in rows(parallel, "key", "comm")} == {k for k, _ in rows(local, "key", "comm")}
+    assert q.communities < 24 and r.communities < 24
+    assert r.modularity == pytest.approx(q.modularity, abs=0.02)
+    assert all(c <= k for k, c in rows(parallel, "key", "comm"))
+
+
 def test_coupling_queries_are_registered_over_the_whole_job(spark, sf):
     q = Q.queries()
     pairs = [(r.from_key, r.to_key) for r in spark.read.parquet(f"{sf}/edges.parquet").select("from_key", "to_key").distinct().collect()]
