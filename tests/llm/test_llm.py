@@ -205,6 +205,23 @@ def test_title_parts():
     assert matching.title_parts(None) == ([], "", "")
 
 
+def test_blocking_misses_no_short_title_with_typos():
+    rng = random.Random(4)
+    words = [a + b for a in "ba de fi go ku lo ma ne pi ru sa to".split() for b in "lin mar nox pel rus tan vik zor".split()]
+    record = lambda ws, year: ("x", "".join(ws), ws, "", "", ["ana keller"], year, None, None, None, None)
+    pairs = []
+    for n, typos in ((1, 1), (2, 1), (3, 1), (3, 2), (4, 1), (4, 2), (5, 1), (6, 1)):
+        for _ in range(100):
+            title = rng.sample(words, n)
+            other = list(title)
+            for i in rng.sample(range(n), typos):
+                other[i] = other[i][:2] + "q" + other[i][3:]
+            pairs.append((record(title, 2001), record(other, 2001 + rng.randint(-1, 1))))
+    near = [(a, b) for a, b in pairs if matching.features(a, b)[matching.FEATURES.index("title_near")]]
+    met = [(a, b) for a, b in near if set(matching.block_keys(a, False)) & set(matching.block_keys(b, True))]
+    assert len(near) == len(pairs) and len(met) == len(near)
+
+
 def test_matching_of_made_up_sources(spark):
     import datetime
 
