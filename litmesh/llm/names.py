@@ -163,9 +163,11 @@ def _compare(batches):
 def name_classes(names: DataFrame, column: str = "name", *, rare: int = 3) -> DataFrame:
     """(name, class): distinct names, each with the class of its person or organisation.
 
-    A misspelt word is rare: of two words that differ by few letters, one must occur in at most
-    `rare` distinct readings, or in a twentieth of the other's. Nulls are left out; a name without letters is a class of its own. The
-    class is the least name that belongs to it.
+    A misspelt word stands beside the right one: of two words that differ by few letters, at least one
+    in `rare` of the rarer one's readings must have a namesake with the other word, or it must occur
+    in a twentieth of the other's readings at most. Both are shares, so a table's size does not
+    matter. Nulls are left out; a name without letters is a class of its own. The class is the least
+    name that belongs to it.
     """
     distinct = names.select(F.col(column).alias("name")).where(F.col("name").isNotNull()).distinct()
     read = stage(distinct.mapInArrow(_readings, "name string, kind string, words string, short string, mids string"))
@@ -181,9 +183,12 @@ def name_classes(names: DataFrame, column: str = "name", *, rare: int = 3) -> Da
     alike = pairs.mapInArrow(_compare, "a string, b string, p string, q string")
     uses = nodes.select(F.explode(F.array_distinct(part)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     use = lambda c, n: uses.select(F.col("w").alias(c), F.col("n").alias(n))
-    typed = alike.join(use("p", "np"), "p", "left").join(use("q", "nq"), "q", "left")
-    few, many = F.least(F.coalesce("np", F.lit(0)), F.coalesce("nq", F.lit(0))), F.greatest(F.coalesce("np", F.lit(0)), F.coalesce("nq", F.lit(0)))
-    typed = typed.where((F.col("p") == "") | (few <= F.greatest(F.lit(rare), many * 0.05))).select("a", "b")
+    alike = stage(alike)
+    beside = alike.where("p <> ''").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).groupBy("p", "q").agg(F.count("*").alias("met"))
+    beside = beside.join(use("p", "np"), "p").join(use("q", "nq"), "q")
+    few, many = F.least("np", "nq"), F.greatest("np", "nq")
+    same = beside.where((F.col("met") * rare >= few) | (few <= many * 0.05)).select("p", "q")
+    typed = alike.where("p = ''").select("a", "b").unionByName(alike.join(same, (F.least(alike["p"], alike["q"]) == same["p"]) & (F.greatest(alike["p"], alike["q"]) == same["q"]), "left_semi").select("a", "b"))
     linked = components(typed)
     root = stage(nodes.join(linked, nodes["node"] == linked["node"], "left").select(nodes["node"], F.coalesce("root", nodes["node"]).alias("root")))
 

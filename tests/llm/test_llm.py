@@ -169,6 +169,15 @@ CLASSES = [
 ]
 
 
+@pytest.mark.parametrize("times", [1, 8])
+def test_misspelt_names_stay_with_their_namesakes_as_the_table_grows(spark, times):
+    families = [f"{a}{b}" for a in ("Bordek", "Dalmip", "Fugtur", "Gilzav") for b in ("anisen", "ovuhorst", "ecklund", "ipowitz", "urrabel", "yttcomb")][: 3 * times]
+    listed = [f"{f}, {g}" for f in families for g in ("William", "Wikliam")] + [f"{a}{b}by, Marta" for a in "KLMN" for b in ("orud", "ipal")] + [f"{a}{b}ton, Maria" for a in "PQRS" for b in ("ezun", "avol")] + ["Korudby, Maria"]
+    got = {r["name"]: r["class"] for r in names.name_classes(spark.createDataFrame([(n,) for n in listed], "name string")).collect()}
+    assert all(got[f"{f}, William"] == got[f"{f}, Wikliam"] for f in families)
+    assert got["Korudby, Maria"] != got["Korudby, Marta"] and len({got[f"{f}, William"] for f in families}) == len(families)
+
+
 def test_name_classes(spark):
     known = {n: i for i, c in enumerate(CLASSES) for n in c}
     df = spark.createDataFrame([(n, "x") for n in [*known, *list(known)[:5]]] + [(None, "x")], "name string, class string")
