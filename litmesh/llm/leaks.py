@@ -7,8 +7,8 @@ segments whose cosine with a window reaches `least_cosine` are candidates. Candi
 runs of words with the passage are checked by a longest common subsequence made of runs, and by the passage's answers (its names and
 numbers, the words that tell it from others of the same mould).
 
-Word sequences of a passage that very many documents carry are stock and count for nothing; that is
-judged by their document frequency over all documents.
+Word sequences that very many documents carry are stock and count for nothing, if several passages
+share them or they stand at a passage's end; that is judged by their frequency over all distinct texts.
 
 The evaluation table is held by every task and is bounded (`most_words`, checked). Documents stay
 where they are: no stage shuffles text, and the check needs no join because a task that finds a
@@ -24,6 +24,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,10 +89,24 @@ class Passages:
         return {w for x in found for w in tokens(x)}
 
     def mark_stock(self, df: np.ndarray, n_docs: int, share: float, least: int) -> None:
+        """Common runs are stock if several different passages share them, or if they close or open a passage and are its lesser
+        part. What would make a whole passage stock is its body, leaked widely, and none of it is."""
         common = self.shingles[(df >= max(share * n_docs, least))]
+        own = [np.unique(_shingles(x)) for x in {x.tobytes(): x for x in self.ids}.values()]
+        values, uses = np.unique(np.concatenate(own), return_counts=True) if own else (common, common)
+        several = np.intersect1d(common, values[uses > 1])
         for ids, stock in zip(self.ids, self.stock):
-            for i in np.flatnonzero(np.isin(_shingles(ids), common)):
+            found, wide = _shingles(ids), np.zeros(len(ids), bool)
+            for i in np.flatnonzero(np.isin(found, several)):
                 stock[i : i + SHINGLE] = True
+            for i in np.flatnonzero(np.isin(found, common)):
+                wide[i : i + SHINGLE] = True
+            rare = np.flatnonzero(~wide)
+            for end in (slice(0, rare[0]), slice(rare[-1] + 1, None)) if len(rare) else ():
+                if 2 * len(ids[end]) < len(ids):
+                    stock[end] = True
+            if stock.all():
+                stock[:] = False
 
         for p, (ids, stock) in enumerate(zip(self.ids, self.stock)):
             for i in range(len(ids) - RUN + 1):
@@ -277,18 +292,22 @@ def leaks(documents: DataFrame, eval_items: DataFrame, *, rank: int = 64, least_
             np.cumsum([len(x) for x in words], out=offsets[1:])
             ids = np.fromiter(map(get, chain.from_iterable(words), repeat(0)), np.int32, int(offsets[-1]))
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0), column], ["doc_id", "ids"])
+            hashed = np.array([xxhash.xxh64_intdigest(b" ".join(x)) for x in words], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.array(hashed)], ["doc_id", "ids", "hash"])
 
-    coded = stage(documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(encode, "doc_id long, ids array<int>"))
+    coded = stage(documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(encode, "doc_id long, ids array<int>, hash long"))
     shared_shingles = spark.sparkContext.broadcast(passages.shingles)
 
     def frequencies(batches):
-        words, runs, n, known = np.zeros(size, np.int64), np.zeros(len(shared_shingles.value), np.int64), 0, shared_shingles.value
+        words, n, known = np.zeros(size, np.int64), 0, shared_shingles.value
+        texts = lambda kind, keys, hashes: pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(hashes), pa.array(np.ones(len(keys), np.int64))], ["kind", "k", "hash", "n"])
         for batch in batches:
             column = batch.column(1)
             offsets, ids = column.offsets.to_numpy().astype(np.int64), column.values.to_numpy(zero_copy_only=False)
             n += len(offsets) - 1
             doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+            hashes = batch.column(2).to_numpy()
+            yield texts(3, np.zeros(len(hashes), np.int64), hashes)
             own = ids[offsets[0] : offsets[-1]]
             words += np.bincount(np.unique(doc * size + own) % size, minlength=size)
             if len(own) >= SHINGLE and len(known):
@@ -296,22 +315,26 @@ def leaks(documents: DataFrame, eval_items: DataFrame, *, rank: int = 64, least_
                 within = doc[: len(h)] == doc[SHINGLE - 1 :]
                 place = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 hit = within & (known[place] == h) & (h > 0)
-                runs += np.bincount(np.unique(doc[: len(h)][hit] * len(known) + place[hit]) % len(known), minlength=len(known))
+                carried = np.unique(doc[: len(h)][hit] * len(known) + place[hit])
+                yield texts(2, carried % len(known), hashes[carried // len(known)])
         kinds, keys, counts = [0], [0], [n]
-        for kind, x in ((1, words), (2, runs)):
-            at = np.flatnonzero(x)
-            kinds += [kind] * len(at)
-            keys += at.tolist()
-            counts += x[at].tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["kind", "k", "n"])
-
-    n_docs, df, runs = 0, np.zeros(size), np.zeros(len(passages.shingles))
-    for kind, k, n in coded.mapInArrow(frequencies, "kind int, k long, n long").groupBy("kind", "k").agg(F.sum("n").alias("n")).collect():  # bounded by the evaluation side's words
+        at = np.flatnonzero(words)
+        kinds += [1] * len(at)
+        keys += at.tolist()
+        counts += words[at].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(np.zeros(len(keys), np.int64)), pa.array(counts, pa.int64())], ["kind", "k", "hash", "n"])
+
+    # Kinds: 0 documents, 1 a word's documents; 2 a run's distinct texts, 3 distinct texts, one row each for a text's hash.
+    n_docs, n_texts, df, runs = 0, 0, np.zeros(size), np.zeros(len(passages.shingles))
+    counted = coded.mapInArrow(frequencies, "kind int, k long, hash long, n long").groupBy("kind", "k", "hash").agg(F.sum("n").alias("n"))
+    for kind, k, n in counted.groupBy("kind", "k").agg(F.sum(F.when(F.col("kind") < 2, F.col("n")).otherwise(1)).alias("n")).collect():  # bounded by the evaluation side's words
         if kind == 0:
             n_docs = n
+        elif kind == 3:
+            n_texts = n
         else:
             (df if kind == 1 else runs)[k] = n
-    passages.mark_stock(runs, n_docs, stock_share, stock_least)
+    passages.mark_stock(runs, n_texts, stock_share, stock_least)
     idf = np.log((n_docs + 1) / (df + 0.5))
     idf[0] = np.median(idf[1:]) if size > 1 else 0.0
     idf = np.maximum(idf, 0.05)

@@ -259,6 +259,17 @@ def test_matching_of_made_up_sources(spark):
 # --- 6 -----------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("copies", [False, True])
+def test_a_passage_in_a_third_of_the_documents_is_no_stock(spark, copies):
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    passages = [(i, text(40)) for i in range(4)]
+    leaking = f"{text(30)} {passages[0][1]} {text(30)}"
+    docs = [(i, leaking if copies else f"{text(30)} {passages[0][1]} {text(30)}") for i in range(40)] + [(i, text(100)) for i in range(40, 119)] + [(119, f"{text(40)} {passages[0][1]} {text(9)}")]
+    d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(passages, "eval_id bigint, passage string")
+    assert pairs_of(leaks.leaks(d, e), "doc_id", "eval_id") == [(i, 0) for i in [*range(40), 119]]
+
+
 def test_leaks_equal_the_cases_made(spark):
     rng = random.Random(4)
     vocab = [a + b + c for a in "ba ce di fo gu".split() for b in "la me ni po ru".split() for c in "ks nt rd".split()]
