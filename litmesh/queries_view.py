@@ -158,16 +158,27 @@ def _(s, d):
 # --- sinks -------------------------------------------------------------------
 
 
+def exported_nodes(s, d):
+    """Every work shown: held items and the works that edges reach, described where known, else by their key alone."""
+    i = items_of(s, d).select("key", F.lit(True).alias("_held"), "title", "year", "creators", "item_type")
+    known = table(s, d, "described").groupBy("key").agg(F.min_by(F.struct("title", "creators", "year", "cited_by_global"), F.struct("title", "year")).alias("m"))
+    keys = E.node_keys(merged_of(s, d)).where("key is not null").union(i.select("key")).distinct()
+    n = keys.join(i, "key", "left").join(known, "key", "left")
+    held = F.coalesce("_held", F.lit(False))
+    of = lambda c: F.when(held, F.col(c)).otherwise(F.col(f"m.{c}")).alias(c)
+    return n.select("key", held.alias("held"), of("title"), of("year"), of("creators"), F.when(held, F.col("item_type")).alias("item_type"), F.when(~held, F.col("m.cited_by_global")).alias("cited_by_global"))
+
+
 @R.add("snk1_node_link")
 def _(s, d):
     m = merged_of(s, d)
-    return X.node_link(items_of(s, d).select("key", "title", "year"), m.select("from_key", "to_key", "confidence", "via"))
+    return X.node_link(exported_nodes(s, d).drop("creators"), m.select("from_key", "to_key", "confidence", "via"))
 
 
 @R.add("snk2_graphml")
 def _(s, d):
     m = merged_of(s, d)
-    return X.graphml(items_of(s, d).select("key", "title", "year", "creators"), m.select("from_key", "to_key", "confidence", "via"))
+    return X.graphml(exported_nodes(s, d), m.select("from_key", "to_key", "confidence", "via"))
 
 
 @R.add("snk5_xml", "SELECT item_id, seq, replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS xml FROM items")

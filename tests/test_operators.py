@@ -266,6 +266,22 @@ def test_exports(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "j")).count() == 2
 
 
+def test_sinks_write_a_node_for_each_end_of_an_edge(spark, sf):
+    import json
+    import xml.etree.ElementTree as ET
+
+    described = {r.key: r.title for r in spark.read.parquet(f"{sf}/described.parquet").where("title is not null").collect()}
+    got = [(r.kind, json.loads(r.json)) for r in Q.queries()["snk1_node_link"](spark, sf).collect()]
+    nodes, ends = {x["key"]: x for k, x in got if k == "node"}, {x[c] for k, x in got if k == "link" for c in ("from_key", "to_key")}
+    assert len(nodes) == sum(k == "node" for k, _ in got) and ends <= nodes.keys()
+    outside = {k: x for k, x in nodes.items() if not x["held"]}
+    assert any("title" in x for x in outside.values()) and all(x.get("title") in (None, described.get(k)) for k, x in outside.items())
+    lines = Q.queries()["snk2_graphml"](spark, sf).orderBy("part").collect()
+    graph = ET.fromstring("".join(r.line for r in lines).encode())
+    tag = "{http://graphml.graphdrawing.org/xmlns}"
+    assert {e.get(c) for e in graph.iter(f"{tag}edge") for c in ("source", "target")} <= {n.get("id") for n in graph.iter(f"{tag}node")} == nodes.keys()
+
+
 def test_pdf_links(spark, tmp_path):
     import zlib
 
