@@ -161,6 +161,13 @@ def _(s, d):
     return c.groupBy("g").agg(scores.reference_count(F.col("c")).alias("reference"))
 
 
+@R.add("fn26_reference_count_whole")
+def _(s, d):
+    """Over all rows; the SQL of fn26 leaves some out."""
+    c = table(s, d, "lineitem").select(F.col("l_suppkey").alias("g"), (F.col("l_partkey") % 50).alias("c"))
+    return c.groupBy("g").agg(scores.reference_count(F.col("c")).alias("reference"))
+
+
 @R.add("fn27_global_radius", "WITH f AS (SELECT key, cited_by_global AS c, sqrt(greatest(cited_by_global, 0) / 400.0::DOUBLE) AS f FROM described), r AS (SELECT key, CASE WHEN c IS NULL THEN 2.0::DOUBLE ELSE least(28.0, 3 + 17 * CASE WHEN f > 1 THEN 1 + log10(f) ELSE f END) END AS r FROM f) SELECT key, round(r, 6) AS radius, round(power(r / 4, 2), 6) AS area FROM r")
 def _(s, d):
     r = table(s, d, "described").select("key", scores.global_radius(F.col("cited_by_global"), F.lit(400.0)).alias("r"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from litmesh import queries as Q
+from litmesh.functions import scores
 from litmesh.operators import edges as E
 from litmesh.operators import evaluate as V
 from litmesh.operators import export as X
@@ -150,6 +151,20 @@ def test_coupling_queries_are_registered_over_the_whole_job(spark, sf):
     assert (got.modularity, got.communities) == (pytest.approx(inside / total - sum((t / (2 * total)) ** 2 for t in ends.values()), abs=1e-5), len(ends))
 
 
+def test_reference_count_over_all_rows_and_of_small_groups(spark, sf):
+    def want(counts):
+        c = sorted(counts)
+        return max(1, c[math.floor(0.95 * (len(c) - 1))] if len(c) >= 20 else c[-1])
+
+    groups = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_partkey").collect():
+        groups.setdefault(r.l_suppkey, []).append(r.l_partkey % 50)
+    assert dict(rows(Q.queries()["fn26_reference_count_whole"](spark, sf), "g", "reference")) == {g: want(c) for g, c in groups.items()}
+    small = {n: [(7 * i + n) % 50 for i in range(n)] for n in (1, 2, 19, 20, 21)} | {0: [0, 0]}
+    df = spark.createDataFrame([(g, c) for g, cs in small.items() for c in cs], "g int, c int")
+    assert dict(rows(df.groupBy("g").agg(scores.reference_count(F.col("c")).alias("r")), "g", "r")) == {g: want(c) for g, c in small.items()}
+
+
 def test_names_and_gaps(spark):
     c = spark.createDataFrame([(f"k{i}", "A" if i < 4 else "B") for i in range(8)], "key string, comm string")
     t = spark.createDataFrame([(f"k{i}", "quantum error correction" if i < 4 else "protein folding landscapes") for i in range(8)], "key string, title string")
