@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from litmesh.functions import ids
 from litmesh.functions.kernels import find_dois_udf, names_journal_udf, norm_title, norm_title_udf
-from litmesh.functions.references import TitleScreen, entries_udf, section_udf
+from litmesh.functions.references import Titles, entries_udf, section_udf
 from litmesh.session import stage
 
 #: Confidence by section quality, and factors of parsed references: fixed values.
@@ -57,11 +57,11 @@ def text_doi(secs: DataFrame, items: DataFrame, index: DataFrame, *, least: str
     return _doi_edges(good.select("att_key", "parent_key", find_dois_udf("flat").alias("dois")), index, items, "text-doi", 0.9, externals)
 
 
-def title_match(secs: DataFrame, items: DataFrame, *, least_title: int = 30, reject_impossible_year: bool = True, require_author: bool = False, window: int = 300, most_letters: int = 64_000_000) -> DataFrame:
+def title_match(secs: DataFrame, items: DataFrame, *, least_title: int = 30, reject_impossible_year: bool = True, require_author: bool = False, window: int = 300, most_letters: int = 4_000_000) -> DataFrame:
     """Edges to held works whose normalised title stands in a reference section.
 
-    Tasks hold the titles in pieces of at most `most_letters` letters; sections pass by each piece, so a
-    longer list of titles means more passes, not more memory.
+    A task holds an automaton over a piece of the titles, some 40 bytes for each of at most `most_letters`
+    letters; sections pass by each piece, so a longer list of titles means more passes, not more memory.
     """
     titles = stage(items.select("key", norm_title_udf("title").alias("t"), "year", F.coalesce(F.get("creators", 0), F.lit("")).alias("author")).where(F.length("t") >= least_title))
     letters = titles.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
@@ -75,7 +75,7 @@ def title_match(secs: DataFrame, items: DataFrame, *, least_title: int = 30, rej
         shared = spark.sparkContext.broadcast([tuple(r) for r in rows])
 
         def scan(frames, shared=shared):
-            screen = TitleScreen(shared.value)
+            screen = Titles(shared.value)
             for f in frames:
                 found = [(a, p, q, k, at, flat[max(0, at - window) : at + len(t) + window]) for a, p, q, flat in zip(f["att_key"], f["parent_key"], f["quality"], f["flat"].map(norm_title)) for k, t, at in screen.contained(flat)]
                 yield pd.DataFrame(found, columns=["att_key", "parent_key", "quality", "to_key", "found_at", "near"])

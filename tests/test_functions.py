@@ -138,7 +138,7 @@ def test_title_screen_equals_plain_search():
     rng = random.Random(3)
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi".split()
     titles = [(str(i), " ".join(rng.choices(words, k=rng.randint(1, 7)))) for i in range(120)]
-    screen = references.TitleScreen(titles)
+    screen = references.Titles(titles)
     for _ in range(40):
         text = " ".join(rng.choices(words, k=80))
         assert [(k, t) for k, t, _ in screen.contained(text)] == sorted((k, t) for k, t in titles if t in text)
