@@ -140,6 +140,45 @@ def test_canonical_values(values, wanted):
     assert canonical.Matcher(JOURNALS).decide(*values)[0] == wanted
 
 
+MENTIONED = [(1, "Journal of Marine Ecology", None), (2, "Marine Ecology", None), (3, "Gildesh Journal of Glaciology", "Gildesh J. Glaciol.")]
+
+
+@pytest.mark.parametrize(
+    "value, wanted",
+    [
+        ("Published in Journal of Marine Ecology by Elsevier", 1),
+        ("Journal of Marine Ecology; Springer", 1),
+        ("see Journal of Marine Ecology", 1),
+        ("Springer / Gildesh J. Glaciol. 12(3)", 3),
+        ("Advances in Marine Ecology", 0),
+        ("European Journal of Marine Ecology", 0),
+        ("Gildesh Journal of Glaciology C", 0),
+        ("Gildesh Journal of Glaciology (C)", 0),
+        ("Journal of Marine Ecology; Gildesh Journal of Glaciology", 0),  # two entries, alike in length
+    ],
+)
+def test_embedded_mentions(value, wanted):
+    assert canonical.Matcher(MENTIONED).decide(value)[0] == wanted
+
+
+def test_words_like_a_listed_word_equal_brute_force():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 11)))
+    matcher = canonical.Matcher([(i, f"{word()} {word()}", None) for i in range(150)])
+    for _ in range(1500):
+        w, want = word(), {}
+        for x in matcher.listed:
+            most = 1 if max(len(w), len(x)) < canonical.LONG else 2
+            stem = w[:-1] if len(w) > 3 and w[-1] == "s" else w
+            if x == w:
+                want[x] = 1.0
+            elif len(w) > 1 and (x.startswith(stem) or len(x) >= 3 and w.startswith(x)):
+                want[x] = 0.95
+            elif min(len(x), len(w)) >= 3 and (d := textnorm.edits(w, x, most)) <= most:
+                want[x] = 0.9 - 0.1 * d
+        assert matcher.agreement(w) == want
+
+
 def test_mapped(spark):
     import datetime
 
