@@ -5,17 +5,20 @@ two Bloom filters, "seen" and "seen again"; the partitions' filters are merged r
 that two partitions set is "again"), and only records whose bits are all "again" are possible repeats.
 Those alone are shuffled and grouped exactly by their whole canonical form; all others are single.
 
-The merged filter has 16 bits a record and is sent to the tasks only up to `most_mb`. Beyond that the
-possible repeats are found by counting the 8-byte hashes, with the same result.
+The filters are made for one range of hashes after the other, each of `slice_mb` at most (16 bits a
+record), so any number of records takes the same memory: of one range the merged filter passes
+through the driver to the tasks. The staged records are sorted by hash within their files, so a
+range reads its own row groups only.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litmesh.llm import textnorm
@@ -23,6 +26,7 @@ from litmesh.llm.groups import group_pairs
 from litmesh.session import stage
 
 REGION = 1 << 19  # bits of a filter that travel and are merged together
+CHUNK = 1 << 21  # hashes marked at a time
 
 
 def _canonical(batches):
@@ -49,27 +53,35 @@ def _bits(h: np.ndarray, size: int) -> np.ndarray:
 
 def _marker(size: int):
     def mark(batches):
-        held = [b.column(0).to_numpy(zero_copy_only=False) for b in batches]
-        if not held:
-            return
-        bits = _bits(np.concatenate(held).astype(np.int64), size)
-        # A hash marks two bits; one hit by two records of this partition is "again".
-        where, hits = np.unique(bits.ravel(), return_counts=True)
-        region = (where // REGION).astype(np.int64)
-        starts = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
-        out: list[list] = [[], [], []]
-        for i, j in zip(starts, [*starts[1:], len(where)]):
-            seen = np.zeros(REGION, bool)
-            seen[(where[i:j] % REGION).astype(np.int64)] = True
-            again = np.zeros(REGION, bool)
-            again[(where[i:j][hits[i:j] > 1] % REGION).astype(np.int64)] = True
-            for column, value in zip(out, (int(region[i]), *(zlib.compress(np.packbits(x).tobytes(), 1) for x in (seen, again)))):
-                column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["region", "seen", "again"])
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            n += len(held[-1])
+            if n >= CHUNK:
+                yield _marked(np.concatenate(held), size)
+                held, n = [], 0
+        if held:
+            yield _marked(np.concatenate(held), size)
 
     return mark
 
 
+def _marked(h: np.ndarray, size: int) -> pa.RecordBatch:
+    """The regions of both filters that these hashes mark; a bit hit by two of them is "again"."""
+    where, hits = np.unique(_bits(h, size).ravel(), return_counts=True)
+    region = (where // REGION).astype(np.int64)
+    starts = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
+    out: list[list] = [[], [], []]
+    for i, j in zip(starts, [*starts[1:], len(where)]):
+        seen = np.zeros(REGION, bool)
+        seen[(where[i:j] % REGION).astype(np.int64)] = True
+        again = np.zeros(REGION, bool)
+        again[(where[i:j][hits[i:j] > 1] % REGION).astype(np.int64)] = True
+        for column, value in zip(out, (int(region[i]), *(zlib.compress(np.packbits(x).tobytes(), 1) for x in (seen, again)))):
+            column.append(value)
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["region", "seen", "again"])
+
+
 def _merge(batches):
     """Filters sorted by region -> one "again" filter for each region; one region is held at a time."""
     at = seen = again = None
@@ -101,15 +113,28 @@ def _prober(filters, size: int):
     return probe
 
 
-def possible_repeats(records: DataFrame, n: int, most_mb: int = 64) -> DataFrame:
-    """Of records (item_id, canon, h) at least all those whose hash another record has."""
-    size = max(REGION, 1 << (16 * max(n, 1) - 1).bit_length())
-    if size // 8 > most_mb << 20:
-        return records.join(records.groupBy("h").count().where("count > 1").select("h"), "h", "left_semi").select("item_id", "canon", "h")
-    marked = records.select("h").mapInArrow(_marker(size), "region long, seen binary, again binary")
-    merged = marked.repartition("region").sortWithinPartitions("region").mapInArrow(_merge, "region long, again binary")
-    filters = records.sparkSession.sparkContext.broadcast([(r[0], bytes(r[1])) for r in merged.collect()])  # size // 8 bytes at most
-    return records.mapInArrow(_prober(filters, size), records.schema)
+def _range(k: int, slices: int) -> Column:
+    """Whether a hash lies in the k-th of so many ranges of all hashes."""
+    bound = lambda i: (i << 64) // slices - (1 << 63)
+    above = F.lit(True) if k == 0 else F.col("h") >= F.lit(bound(k))
+    return above if k == slices - 1 else above & (F.col("h") < F.lit(bound(k + 1)))
+
+
+def possible_repeats(records: DataFrame, n: int, slice_mb: float = 64) -> DataFrame:
+    """Of `n` records (item_id, canon, h) at least all those whose hash another record has, staged."""
+    most = int(slice_mb * (1 << 23))  # bits
+    slices = max(1, math.ceil(16 * n / most))
+    size = max(REGION, 1 << (16 * math.ceil(max(n, 1) / slices) - 1).bit_length())
+    context, out = records.sparkSession.sparkContext, None
+    for k in range(slices):
+        rows = records.where(_range(k, slices)) if slices > 1 else records
+        marked = rows.select("h").mapInArrow(_marker(size), "region long, seen binary, again binary")
+        merged = marked.repartition("region").sortWithinPartitions("region").mapInArrow(_merge, "region long, again binary")
+        filters = context.broadcast([(r[0], bytes(r[1])) for r in merged.collect()])  # twice slice_mb at most
+        part = stage(rows.mapInArrow(_prober(filters, size), records.schema))
+        filters.unpersist()
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _records(items: DataFrame) -> DataFrame:
@@ -118,10 +143,11 @@ def _records(items: DataFrame) -> DataFrame:
     old = items.select("item_id", F.struct("synced_at", "seq").alias("at")).join(twice, "item_id").where(F.col("at") != F.col("last")).select("item_id", F.col("at.seq").alias("seq")).distinct()
     rows = items.where(F.col("item_id").isNotNull()).join(old, ["item_id", "seq"], "left_anti").select("item_id", "title", "doi", "volume", "pages")
     canon = rows.mapInArrow(_canonical, "item_id long, canon string")
-    return stage(canon.withColumn("h", F.xxhash64(F.coalesce("canon", F.concat(F.lit("\x00item"), F.col("item_id").cast("string"))))))
+    hashed = canon.withColumn("h", F.xxhash64(F.coalesce("canon", F.concat(F.lit("\x00item"), F.col("item_id").cast("string")))))
+    return stage(hashed.sortWithinPartitions("h"))
 
 
-def duplicate_groups(items: DataFrame, *, most_mb: int = 64) -> tuple[DataFrame, DataFrame]:
+def duplicate_groups(items: DataFrame, *, slice_mb: float = 64) -> tuple[DataFrame, DataFrame]:
     """(records, members): all records (item_id, canon, h), and (canon, item_id) of those with a copy.
 
     Records are the same if title, doi, volume and pages are, null only with null, and are told
@@ -131,7 +157,7 @@ def duplicate_groups(items: DataFrame, *, most_mb: int = 64) -> tuple[DataFrame,
     """
     records = _records(items)
     n = records.count()
-    some = possible_repeats(records.where(F.col("canon").isNotNull()), n, most_mb).select("canon", "item_id").distinct()
+    some = possible_repeats(records.where(F.col("canon").isNotNull()), n, slice_mb).select("canon", "item_id").distinct()
     groups = some.groupBy("canon").agg(F.count("*").alias("c")).where("c > 1").select("canon")
     return records, some.join(groups, "canon", "left_semi")
 

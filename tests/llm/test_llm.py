@@ -69,10 +69,10 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize("most_mb", [64, 0])
-def test_hidden_duplicates(spark, most_mb):
+@pytest.mark.parametrize("slice_mb", [64, 8e-6])
+def test_hidden_duplicates(spark, slice_mb):
     df = items(spark, ROWS)
-    members = dedupe.duplicate_groups(df, most_mb=most_mb)[1]
+    members = dedupe.duplicate_groups(df, slice_mb=slice_mb)[1]  # one range of hashes, or four
     got = pairs_of(groups.group_pairs(members, "canon", "item_id"), "a", "b")
     assert got == [(1, 2), (4, 11), (8, 9)]
 
@@ -83,10 +83,11 @@ def test_deduplicated_counts(spark):
     assert dedupe.duplicate_pairs(items(spark, ROWS).where("false")).count() == 0
 
 
-def test_bloom_loses_no_repeat(spark):
+@pytest.mark.parametrize("slice_mb", [64, 0.01])
+def test_bloom_loses_no_repeat(spark, slice_mb):
     n = 20_000
     df = spark.range(n).select((F.col("id") % (n - 500)).cast("string").alias("canon"), F.col("id").alias("item_id")).withColumn("h", F.xxhash64("canon")).select("item_id", "canon", "h").repartition(7)
-    some = dedupe.possible_repeats(df, n)
+    some = dedupe.possible_repeats(df, n, slice_mb)
     assert some.groupBy("canon").count().where("count > 1").count() == 500
     assert some.count() < 0.2 * n
 
