@@ -14,7 +14,6 @@ more often than `max_repeats`. The corpus' total is the largest that all sources
 from __future__ import annotations
 
 import base64
-import importlib.util
 from pathlib import Path
 
 import numpy as np
@@ -27,30 +26,28 @@ from litmesh.session import stage
 #: How byte-level BPE cuts a text into words before merging: a fixed value of the public vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 BINS = 1 << 12
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
-def default_vocabulary() -> str:
-    """The public byte-level BPE vocabulary of this machine."""
-    spec = importlib.util.find_spec("public_tokenizers")
-    return str(Path(spec.origin).parent / "byte_bpe_50k.tiktoken") if spec and spec.origin else "/opt/tokenizers/byte_bpe_50k.tiktoken"
-
-
-def _counter(vocabulary: str):
+def _counter(vocabulary: bytes):
     import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(vocabulary).read_bytes().splitlines())}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     return lambda text: len(encode(text))
 
 
-def token_counts(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, source, digest, tokens) of each row; a null text has no digest and no tokens."""
-    path = vocabulary or default_vocabulary()
+def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, source, digest, tokens) of each row; a null text has no digest and no tokens.
+
+    `vocabulary` is a file of the driver: a byte-level BPE of some hundred kB, whose bytes go to the tasks.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
     def count(batches):
         tokens = None
         for batch in batches:
-            tokens = tokens or _counter(path)
+            tokens = tokens or _counter(shared.value)
             n = [0 if t is None else tokens(t) for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64())], ["doc_id", "source", "digest", "tokens"])
 
@@ -91,14 +88,18 @@ def balance(sizes: DataFrame, targets: dict[str, float], most: dict[str, int], *
     return {s: (base[s], lam[s], means[s]) for s in targets}
 
 
-def mixture(documents: DataFrame, mix_targets: DataFrame, *, total: int | None = None, vocabulary: str | None = None, seed: int = 7) -> DataFrame:
+def mixture(documents: DataFrame, mix_targets: DataFrame, *, total: int | None = None, vocabulary: str = VOCABULARY, seed: int = 7, most_targets: int = 1000) -> DataFrame:
     """(doc_id, source, tokens, rate, copies): the texts used at least once and how often.
 
     Sources that `mix_targets` does not list, null sources, null and empty texts belong to no mix. A
     source without any text cannot have its share: its target is left out and the shares of the
-    others are of what remains. Targets must be bounded in number (they stay on the driver).
+    others are of what remains. More than `most_targets` sources are an error: their goals and
+    multipliers stand in the plan.
     """
-    goals = {r[0]: (float(r[1]), int(r[2])) for r in mix_targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.sum("target_share"), F.max("max_repeats")).limit(10_000).collect()}
+    wanted = mix_targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.sum("target_share"), F.max("max_repeats")).limit(most_targets + 1).collect()
+    if len(wanted) > most_targets:
+        raise ValueError(f"the mix has more than {most_targets} sources: raise most_targets with the plan's size in mind")
+    goals = {r[0]: (float(r[1]), int(r[2])) for r in wanted}
     listed = documents.where(F.col("source").isin(list(goals)) & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     counted = token_counts(listed, vocabulary).where("tokens > 0")
     texts = stage(counted.groupBy("digest").agg(F.min(F.struct("doc_id", "source", "tokens")).alias("t")).select("t.*"))
@@ -121,18 +122,11 @@ def mixture(documents: DataFrame, mix_targets: DataFrame, *, total: int | None =
     # threshold a source so that the rounded total meets the target.
     uniform = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rated = rated.withColumn("whole", F.floor("rate")).withColumn("late", uniform - (F.col("rate") - F.floor("rate")))
-    bins = rated.groupBy("source", F.floor((F.col("late") + 1) * (BINS / 2)).alias("bin")).agg(F.sum("tokens").alias("more"), F.sum(F.col("tokens") * F.col("whole")).alias("sure")).collect()  # BINS rows a source at most
-    threshold = {}
-    for s in goals:
-        own = sorted((r[1], r[2]) for r in bins if r[0] == s)
-        short = size * shares[s] - sum(r[3] for r in bins if r[0] == s)
-        at = 0.0
-        taken, best = 0, abs(short)
-        for b, more in own:
-            taken += more
-            if abs(short - taken) <= best:
-                best, at = abs(short - taken), (b + 1) / (BINS / 2)
-        threshold[s] = at - 1
+    bins = rated.groupBy("source", F.floor((F.col("late") + 1) * (BINS / 2)).alias("bin")).agg(F.sum("tokens").alias("more"), F.sum(F.col("tokens") * F.col("whole")).alias("sure"))
+    own = Window.partitionBy("source")  # BINS rows a source at most
+    bins = bins.withColumn("short", col({s: float(size * shares[s]) for s in goals}) - F.sum("sure").over(own)).withColumn("taken", F.sum("more").over(own.orderBy("bin")))
+    nearest = bins.groupBy("source").agg(F.min("short").alias("short"), F.min(F.struct(F.abs(F.col("short") - F.col("taken")).alias("miss"), F.col("bin"))).alias("m")).collect()  # a row a source
+    threshold = {r[0]: (r.m.bin + 1) / (BINS / 2) - 1 if r.m.miss <= abs(r.short) else -1.0 for r in nearest}
     copies = F.least(F.col("whole") + (F.col("late") < col({s: float(t) for s, t in threshold.items()})).cast("int"), col(most)).cast("int")
     return rated.withColumn("copies", copies).where("copies > 0").select("doc_id", "source", "tokens", "rate", "copies")
 

@@ -1,4 +1,5 @@
 import itertools
+import pathlib
 import random
 
 import pytest
@@ -359,11 +360,13 @@ def test_mixture_meets_its_targets(spark):
     assert abs(got["a"].share - 1 / 3) < 0.01 and abs(got["b"].share - 2 / 3) < 0.01 and got["none"].tokens == 0
     assert mix.agg(F.max(F.col("copies"))).first()[0] <= 3 and mix.where("source = 'a' and copies > 1").count() == 0
     assert mix.where("doc_id >= 5000").count() == 0
+    with pytest.raises(ValueError, match="most_targets"):
+        mixing.mixture(d, t, most_targets=2)
     assert mixing.mixture(d.where("false"), t).count() == mixing.mixture(d, t.where("false")).count() == 0
 
 
 def test_token_counts_are_the_tokenizer_s(spark):
-    counter = mixing._counter(mixing.default_vocabulary())
+    counter = mixing._counter(pathlib.Path(mixing.VOCABULARY).read_bytes())
     d = spark.createDataFrame([(1, "a", "naïve trade-offs <|endoftext|>"), (2, "a", None), (3, "a", "")], "doc_id bigint, source string, text string")
     assert {r.doc_id: r.tokens for r in mixing.token_counts(d).collect()} == {1: counter("naïve trade-offs <|endoftext|>"), 2: 0, 3: 0}
 
