@@ -320,6 +320,59 @@ def test_a_passage_in_a_third_of_the_documents_is_no_stock(spark, copies):
     assert pairs_of(leaks.leaks(d, e), "doc_id", "eval_id") == [(i, 0) for i in [*range(40), 119]]
 
 
+def test_a_passage_copied_into_many_documents_is_found_in_each(spark):
+    rng = random.Random(7)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    passages = [(i, text(50)) for i in range(5)]
+    docs = [(i, f"{text(40)} {passages[0][1]} {text(40)}" if i < 30 else text(120)) for i in range(1000)]
+    d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(passages, "eval_id bigint, passage string")
+    assert pairs_of(leaks.leaks(d, e), "doc_id", "eval_id") == [(i, 0) for i in range(30)]
+
+
+def test_edited_passages_are_found(spark):
+    rng = random.Random(3)
+    vocab = ["".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(2000)]
+    some = lambda n: [vocab[rng.randrange(40 if rng.random() < 0.4 else 2000)] for _ in range(n)]
+    passages = [(i, some(60)) for i in range(40)]
+    docs, want = [], set()
+    for i in range(400):
+        words = list(passages[i % 40][1])
+        if i < 40:  # every fourth word is another
+            words = [w if n % 4 != 3 else "new" + w for n, w in enumerate(words)]
+        else:  # a stretch with words changed, left out and put in
+            at, size = rng.randint(0, 30), rng.randint(24, 30)
+            words = [x for w in words[at : at + size] for x in rng.choices(([w], ["new" + w], [], [w, "more"]), (85, 6, 5, 4))[0]]
+        docs.append((i, " ".join([*some(rng.randint(0, 90)), *words, *some(60)])))
+        want.add((i, i % 40))
+    d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in passages], "eval_id bigint, passage string")
+    got = set(pairs_of(leaks.leaks(d, e), "doc_id", "eval_id"))
+    assert {p for p in want if p[0] < 40} <= got and len(want & got) >= 0.95 * len(want) and len(got - want) <= 0.02 * len(want)
+
+
+def test_the_subsequence_and_the_inverted_file():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(1, 9, (50, leaks.SIDE)), rng.integers(1, 9, (50, leaks.SIDE))
+    a[:9, 40:], b[5:20, 30:] = 0, -1
+
+    def brute(x, y):
+        row = [0] * (len(y) + 1)
+        for w in x:
+            last = list(row)
+            for j, v in enumerate(y, 1):
+                row[j] = last[j - 1] + 1 if w == v else max(last[j], row[j - 1])
+        return row[-1]
+
+    assert leaks.common_subsequence(a, b).tolist() == [brute(x, y) for x, y in zip(a.tolist(), b.tolist())]
+    v = rng.standard_normal((60, 24)).astype(np.float32)[rng.integers(0, 60, 1500)] + 0.5 * rng.standard_normal((1500, 24)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows, found = leaks.Lists(v, 16).search(v[:300], 0.5)
+    dense = set(map(tuple, np.argwhere(v[:300] @ v.T >= 0.5)))
+    assert set(zip(rows, found)) <= dense and len(set(zip(rows, found))) >= 0.95 * len(dense)
+
+
 def test_leaks_equal_the_cases_made(spark):
     rng = random.Random(4)
     vocab = [a + b + c for a in "ba ce di fo gu".split() for b in "la me ni po ru".split() for c in "ks nt rd".split()]
