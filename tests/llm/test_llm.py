@@ -268,19 +268,11 @@ def test_blocking_misses_no_short_title_with_typos():
                 other[i] = other[i][:2] + "q" + other[i][3:]
             pairs.append((record(title, 2001), record(other, 2001 + rng.randint(-1, 1))))
     near = [(a, b) for a, b in pairs if matching.features(a, b)[matching.FEATURES.index("title_near")]]
-    met = [(a, b) for a, b in near if set(matching.block_keys(a, False)) & set(matching.block_keys(b, True))]
+    keys = lambda r, described: set(matching.Keys().of([r], described)[1].tolist())
+    met = [(a, b) for a, b in near if keys(a, False) & keys(b, True)]
     assert len(near) == len(pairs) and len(met) == len(near)
 
 
-def test_only_contradicting_pairs_are_set_apart(spark):
-    side = lambda p: f"{p}_words array<string>, {p}_page string, {p}_volume int, {p}_year int, {p}_journal int"
-    one, two = ["balin", "demar"], ["bqlin", "deqar"]
-    cases = [((one, "5", 3, 2000, 1), (two, None, 3, 2000, 1), False), ((one, None, 3, 1990, 1), (two, None, 9, 2000, 2), False), ((one, "5", 3, 2000, 1), (two, "6", 3, 2001, 1), False), ((one, "5", None, None, None), (two, "6", 4, None, 2), False)]
-    cases += [((one, "5", 3, 2000, 1), (two, "6", 4, 2000, 1), True), ((one, "5", None, 2000, None), (two, "6", None, 2002, None), True), ((one, "5", 3, 2000, 1), (two, "6", 3, 2000, 2), True), ((one, "5", 3, 2000, 1), (one, "6", 4, 2000, 1), False)]
-    df = spark.createDataFrame([(i, *a, *b) for i, (a, b, _) in enumerate(cases)], f"i int, {side('a')}, {side('b')}")
-    assert pairs_of(df.withColumn("apart", matching._apart()), "i", "apart") == [(i, x[2]) for i, x in enumerate(cases)]
-
-
 def test_matching_of_made_up_sources(spark):
     import datetime
 
