@@ -2,9 +2,10 @@
 
 Method: a name is read as a set of sorted words, initials and shortened words (nicknames by table,
 umlauts and their transcriptions alike, particles and order without weight). Names with all words are
-blocked by the phonetic codes of their sorted words: all words but one are equal, and the phonetic
-code of that one is the same but for one position. In a block the differing words are compared by
-Jaro-Winkler and edit distance. Accepted pairs are clustered by connected components. Then initials,
+blocked by the phonetic codes of their sorted words: one block has the codes of all words, so that
+every word may be misspelt as long as it sounds the same; in the others all words but one are equal,
+and the code of that one is the same but for one position. In a block the differing words are compared
+by Jaro-Winkler and edit distance. Accepted pairs are clustered by connected components. Then initials,
 shortened names and bare surnames join the one cluster that fits them; where several fit, none is taken.
 
 Blocks hold distinct readings, not rows: a name in a third of all rows is one reading.
@@ -12,6 +13,7 @@ Blocks hold distinct readings, not rows: a name in a third of all rows is one re
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import pyarrow as pa
@@ -103,10 +105,17 @@ def phonetic(word: str) -> str:
     return word.translate(CONSONANTS)
 
 
+def sounds(word: str) -> str:
+    """The word's classes, neighbours of one class once."""
+    return "".join(c for c, _ in itertools.groupby(phonetic(word)))
+
+
 def keys(kind: str, words: str) -> list[str]:
-    """Blocks of a name with all words: the rest as it is, the phonetic code of one word but for a position."""
+    """Blocks of a name with all words: the codes of all words, and the rest as it is beside the phonetic code of one word but for a position."""
     tokens = words.split()
     out = {f"o#{tokens[0]}|{tokens[1]}"} if kind == "o" else set()  # the topic's words may all be shortened
+    if kind == "p" and len(tokens) > 1:
+        out.add("p&" + " ".join(sorted(map(sounds, tokens))))
     for i, token in enumerate(tokens):
         rest = " ".join(tokens[:i] + tokens[i + 1 :])
         if kind == "o" and i == 1:
@@ -137,27 +146,59 @@ def _same_topic(p: str, q: str) -> bool:
     return min(len(p), len(q)) >= 3 and (p.startswith(q) or q.startswith(p)) or min(len(p), len(q)) >= 4 and edits(p, q, 2) <= (1 if max(len(p), len(q)) < 8 else 2)
 
 
+def _like(p: str, q: str) -> bool:
+    return min(len(p), len(q)) >= 4 and edits(p, q, 2) <= (1 if max(len(p), len(q)) < 8 else 2) and jaro_winkler(p, q) >= 0.85
+
+
+def differing(x: list[str], y: list[str]) -> list[tuple[str, str]] | None:
+    """The words in which two sorted readings differ, each beside the word it may stand for; None if they differ by more than
+    misspelt words. One word may differ as `_like` says, further ones only if they sound the same and begin alike."""
+    left, right = list(x), list(y)
+    for w in x:
+        if w in right:
+            left.remove(w)
+            right.remove(w)
+    if not left or len(left) != len(right):
+        return None
+    if len(left) == 1:
+        return [(left[0], right[0])] if _like(left[0], right[0]) else None
+    out = []
+    for p in left:
+        fit = [q for q in right if p[0] == q[0] and sounds(p) == sounds(q) and _like(p, q)]
+        if not fit:
+            return None
+        out.append((p, max(fit, key=lambda q: jaro_winkler(p, q))))
+        right.remove(out[-1][1])
+    return out
+
+
 def _compare(batches):
-    """(a, b) readings of one block -> those whose one differing word is alike: (a, b, word of a, word of b)."""
+    """(a, b) readings of one block -> those whose differing words are alike: (a, b, words of a, words of b)."""
     for batch in batches:
         out: list[tuple] = []
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             x, y = a.split("|", 1)[1].split(), b.split("|", 1)[1].split()
             if a[0] == b[0] == "o" and x[:2] == y[:2]:
                 if len(x) == len(y) and all(_same_topic(p, q) for p, q in zip(x[2:], y[2:])):
-                    out.append((a, b, "", ""))
+                    out.append((a, b, [], []))
                 continue
-            left, right = list(x), list(y)
-            for w in x:
-                if w in right:
-                    left.remove(w)
-                    right.remove(w)
-            if len(left) == len(right) == 1:
-                p, q = left[0], right[0]
-                if min(len(p), len(q)) >= 4 and edits(p, q, 2) <= (1 if max(len(p), len(q)) < 8 else 2) and jaro_winkler(p, q) >= 0.85:
-                    out.append((a, b, p, q))
+            if (pairs := differing(x, y)) is not None:
+                out.append((a, b, [p for p, _ in pairs], [q for _, q in pairs]))
         cols = list(zip(*out)) if out else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["a", "b", "p", "q"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())))], ["a", "b", "ps", "qs"])
+
+
+def _misspelt(coded: DataFrame) -> DataFrame:
+    """(a, b, ps, qs) of (node, key): pairs of a block that could be one name, compared once each.
+
+    Before the pairs are shuffled the JVM drops those whose one differing word differs by more than two
+    edits can make; organisations, whose topic may be shortened, all pass."""
+    pairs = group_pairs(coded, "key", "node")
+    of = lambda c: F.split(F.element_at(F.split(c, r"\|"), 2), " ")
+    only = lambda c, d: F.array_except(of(c), of(d))
+    apart = F.levenshtein(F.array_join(only("a", "b"), " "), F.array_join(only("b", "a"), " "))  # words may have changed places
+    pairs = pairs.where(F.col("a").startswith("o|") | (F.size(only("a", "b")) > 1) | (apart <= 4)).distinct()
+    return pairs.mapInArrow(_compare, "a string, b string, ps array<string>, qs array<string>")
 
 
 def name_classes(names: DataFrame, column: str = "name", *, rare: int = 3) -> DataFrame:
@@ -177,18 +218,16 @@ def name_classes(names: DataFrame, column: str = "name", *, rare: int = 3) -> Da
     nodes = full.select("node").distinct()
     part = F.split(F.element_at(F.split("node", r"\|"), 2), " ")
 
-    # Misspelt words.
-    blocks = nodes.mapInArrow(_keys, "node string, key string")
-    pairs = group_pairs(blocks, "key", "node").distinct()
-    alike = pairs.mapInArrow(_compare, "a string, b string, p string, q string")
-    uses = nodes.select(F.explode(F.array_distinct(part)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    # Misspelt words: each pair of words of two names must be judged the same word.
+    alike = stage(_misspelt(nodes.mapInArrow(_keys, "node string, key string")))
+    uses = stage(nodes.select(F.explode(F.array_distinct(part)).alias("w")).groupBy("w").agg(F.count("*").alias("n")))
     use = lambda c, n: uses.select(F.col("w").alias(c), F.col("n").alias(n))
-    alike = stage(alike)
-    beside = alike.where("p <> ''").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).groupBy("p", "q").agg(F.count("*").alias("met"))
-    beside = beside.join(use("p", "np"), "p").join(use("q", "nq"), "q")
+    beside = alike.select("a", "b", F.explode(F.arrays_zip("ps", "qs")).alias("w")).select("a", "b", F.least("w.ps", "w.qs").alias("p"), F.greatest("w.ps", "w.qs").alias("q"))
+    met = beside.groupBy("p", "q").agg(F.count("*").alias("met")).join(use("p", "np"), "p").join(use("q", "nq"), "q")
     few, many = F.least("np", "nq"), F.greatest("np", "nq")
-    same = beside.where((F.col("met") * rare >= few) | (few <= many * 0.05)).select("p", "q")
-    typed = alike.where("p = ''").select("a", "b").unionByName(alike.join(same, (F.least(alike["p"], alike["q"]) == same["p"]) & (F.greatest(alike["p"], alike["q"]) == same["q"]), "left_semi").select("a", "b"))
+    same = met.where((F.col("met") * rare >= few) | (few <= many * 0.05)).select("p", "q")
+    doubted = beside.join(same, ["p", "q"], "left_anti").select("a", "b").distinct()
+    typed = alike.select("a", "b").join(doubted, ["a", "b"], "left_anti")
     linked = components(typed)
     root = stage(nodes.join(linked, nodes["node"] == linked["node"], "left").select(nodes["node"], F.coalesce("root", nodes["node"]).alias("root")))
 
@@ -198,16 +237,20 @@ def name_classes(names: DataFrame, column: str = "name", *, rare: int = 3) -> Da
     roles = roles.select("root", "given", F.array_join(F.array_except("ws", F.array("given")), " ").alias("surname"), F.substring("given", 1, 1).alias("i"), "mids")
     held = stage(roles.where("surname <> ''").groupBy("surname", "i", "root").agg(F.collect_set("given").alias("givens"), F.array_distinct(F.flatten(F.collect_set(F.split("mids", "")))).alias("mids")))
     asked = read.where((F.col("short") != "") & (F.col("words") != "")).select("name", F.col("words").alias("surname"), F.substring("short", 1, 1).alias("i"), "short", "mids")
-    met = asked.join(held.withColumnRenamed("mids", "known"), ["surname", "i"])
+    # Names that ask for the same are one request, so a surname's classes meet its few kinds of initials and not its names.
+    request = ["surname", "i", "short", "mids"]
+    met = asked.select(request).distinct().join(held.withColumnRenamed("mids", "known"), ["surname", "i"])
     met = met.where((F.length("short") == 1) | F.exists("givens", lambda g: g.startswith(F.col("short"))))
     known = F.filter("known", lambda x: x != "")
     mine = F.filter(F.split("mids", ""), lambda x: x != "")
     fit = F.when(F.arrays_overlap(mine, known), 2).when((F.size(mine) == 0) | (F.size(known) == 0), 1).otherwise(0)
     met = met.withColumn("fit", fit).where("fit > 0")
-    one = met.groupBy("name").agg(F.max(F.struct("fit", "root")).alias("m"), F.min(F.struct(-F.col("fit"), "root")).alias("l"))
-    joined = one.where((F.col("m.fit") == -F.col("l.col1")) & (F.col("m.root") == F.col("l.root")) | (F.col("m.fit") > 1) & (F.col("m.fit") == -F.col("l.col1")) & (F.col("m.root") == F.col("l.root"))).select("name", F.col("m.root").alias("root"))
+    one = met.groupBy(*request).agg(F.max(F.struct("fit", "root")).alias("m"), F.min(F.struct(-F.col("fit"), "root")).alias("l"))
+    one = stage(one.select(*request, F.when((F.col("m.fit") == -F.col("l.col1")) & (F.col("m.root") == F.col("l.root")), F.col("m.root")).alias("root")))
+    answered = asked.join(one, request, "left").select("name", "root")
+    joined = answered.where("root is not null").select("name", "root")
     # Initials that meet no whole name are one person for each surname and first initial.
-    lone = asked.join(met.select("name").distinct(), "name", "left_anti")
+    lone = asked.join(one, request, "left_anti")
     # Some are an organisation's place and acronym.
     acronyms = read.where((F.col("kind") == "o") & whole).select(F.get(F.split("words", " "), 0).alias("surname"), F.col("mids").alias("acronym"), node.alias("node")).join(root, "node")
     acronyms = acronyms.groupBy("surname", "acronym").agg(F.min("root").alias("root"), F.max("root").alias("other")).where("root = other").drop("other")
@@ -224,7 +267,7 @@ def name_classes(names: DataFrame, column: str = "name", *, rare: int = 3) -> Da
     bare = stage(bare.join(surnames.select("surname").distinct().withColumn("met", F.lit(True)), "surname", "left").join(only, "surname", "left"))
     words = surnames.where(~F.col("surname").contains(" ")).select("surname").unionByName(bare.select("surname")).distinct()
     coded = words.select(F.concat(F.lit("b|"), "surname").alias("node")).mapInArrow(_keys, "node string, key string")
-    near = group_pairs(coded, "key", "node").distinct().mapInArrow(_compare, "a string, b string, p string, q string")
+    near = _misspelt(coded).select(F.element_at("ps", 1).alias("p"), F.element_at("qs", 1).alias("q"))
     near = near.where(F.levenshtein("p", "q") <= 2).select(F.col("p").alias("x"), F.col("q").alias("y"))
     near = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y")))
     stray = bare.where("met is null").groupBy("surname").agg(F.count("*").alias("n")).where("n = 1").select(F.col("surname").alias("x"))
