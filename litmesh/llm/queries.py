@@ -46,7 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_mix": _mix,
         "p7_shares": lambda s, d: mixing.shares(mixing.mixture(table(s, d, "documents"), table(s, d, "mix_targets")), table(s, d, "mix_targets")),
         "p8_found": lambda s, d: quality.not_prose(table(s, d, "documents")),
-        "p8_statistics": lambda s, d: quality.statistics(table(s, d, "documents")),
+        "p8_statistics": lambda s, d: quality.statistics(table(s, d, "documents"), table(s, d, "text_labels")),
     }
 
 

@@ -219,6 +219,14 @@ def test_misspelt_names_stay_with_their_namesakes_as_the_table_grows(spark, time
     assert got["Korudby, Maria"] != got["Korudby, Marta"] and len({got[f"{f}, William"] for f in families}) == len(families)
 
 
+def test_names_with_two_misspelt_words_are_linked(spark):
+    linked = [("Peter Schmidt", "Petr Schmitt"), ("Frederick Klopisuvard", "Fredrick Klopsuvard")]
+    other = ["Paula Schmidt", "Dieter Schmidt", "Peter Schmalz", "Frederick Klopsiva"]
+    df = spark.createDataFrame([(n,) for n in [*itertools.chain(*linked), *other]], "name string")
+    got = {r["name"]: r["class"] for r in names.name_classes(df).collect()}
+    assert all(got[a] == got[b] for a, b in linked) and len({got[n] for n in ("Paula Schmidt", "Dieter Schmidt", "Peter Schmalz")} | {got["Peter Schmidt"]}) == 4
+
+
 def test_name_classes(spark):
     known = {n: i for i, c in enumerate(CLASSES) for n in c}
     df = spark.createDataFrame([(n, "x") for n in [*known, *list(known)[:5]]] + [(None, "x")], "name string, class string")
@@ -443,6 +451,45 @@ def test_profiles(text, wanted):
     assert (quality.measure([text])["profile"][0] == "prose") == (wanted == "prose")
 
 
+FOREIGN = {
+    "it": "La ricerca sulla storia delle città italiane ha mostrato che il commercio non era limitato alle grandi famiglie. Molti documenti sono stati trovati negli archivi, ma pochi sono stati studiati con attenzione dagli storici.",
+    "pt": "A pesquisa sobre a história das cidades mostrou que o comércio não era limitado às grandes famílias. Muitos documentos foram encontrados nos arquivos, mas poucos foram estudados com atenção pelos historiadores.",
+    "nl": "Het onderzoek naar de geschiedenis van de steden heeft laten zien dat de handel niet beperkt was tot de grote families. Veel documenten zijn in de archieven gevonden, maar weinig zijn met aandacht bestudeerd door historici.",
+    "sv": "Forskningen om städernas historia har visat att handeln inte var begränsad till de stora familjerna. Många dokument har hittats i arkiven, men få har studerats med uppmärksamhet av historiker under de senaste åren.",
+    "pl": "Badania nad historią miast pokazały, że handel nie był ograniczony do wielkich rodzin. Wiele dokumentów znaleziono w archiwach, ale tylko nieliczne zostały uważnie zbadane przez historyków w ostatnich latach.",
+    "ru": "Исследование истории городов показало, что торговля не была ограничена крупными семьями. Многие документы были найдены в архивах, но только некоторые из них были внимательно изучены историками за последние годы.",
+    "zh": "对城市历史的研究表明，贸易并不局限于大家族。许多文件是在档案馆中发现的，但只有少数文件得到了历史学家的认真研究。近年来，研究人员开始使用新的方法来分析这些材料，并取得了一些重要的结果。",
+    "ja": "都市の歴史に関する研究は、商業が大きな家族に限られていなかったことを示している。多くの文書が公文書館で発見されたが、歴史家によって注意深く研究されたものは少ない。近年、新しい方法が使われるようになった。",
+    "el": "Η έρευνα για την ιστορία των πόλεων έδειξε ότι το εμπόριο δεν περιοριζόταν στις μεγάλες οικογένειες. Πολλά έγγραφα βρέθηκαν στα αρχεία, αλλά λίγα έχουν μελετηθεί με προσοχή από τους ιστορικούς τα τελευταία χρόνια.",
+    "et": "Linnade ajaloo uurimine on näidanud, et kaubandus ei piirdunud suurte peredega. Paljud dokumendid leiti arhiividest, kuid ajaloolased on neist vaid väheseid tähelepanelikult uurinud. Viimastel aastatel hakati kasutama uusi meetodeid.",
+    "fi": "Kaupunkien historian tutkimus on osoittanut, että kauppa ei rajoittunut suuriin perheisiin. Monet asiakirjat löydettiin arkistoista, mutta vain harvoja niistä on tutkittu huolellisesti. Viime vuosina on alettu käyttää uusia menetelmiä.",
+    "ar": "أظهرت الأبحاث حول تاريخ المدن أن التجارة لم تكن مقتصرة على العائلات الكبيرة. تم العثور على العديد من الوثائق في الأرشيف، لكن القليل منها درس بعناية من قبل المؤرخين في السنوات الأخيرة، وقد بدأ الباحثون في استخدام طرق جديدة.",
+    "hu": "A városok történetének kutatása megmutatta, hogy a kereskedelem nem korlátozódott a nagy családokra. Sok dokumentumot találtak a levéltárakban, de csak keveset tanulmányoztak figyelmesen a történészek az elmúlt években.",
+    "tr": "Şehirlerin tarihi üzerine yapılan araştırmalar, ticaretin büyük ailelerle sınırlı olmadığını göstermiştir. Arşivlerde çok sayıda belge bulunmuş, ancak bunların çok azı tarihçiler tarafından dikkatle incelenmiştir.",
+}
+
+
+@pytest.mark.parametrize("lang", FOREIGN)
+def test_prose_of_any_language_is_prose(lang):
+    assert quality.measure([FOREIGN[lang]])["profile"] == ["prose"]
+
+
+def test_lists_of_unknown_words_are_no_prose():
+    assert "prose" not in quality.measure(["\n".join(f"{w} {v}" for w, v in zip(FOREIGN["et"].split(), FOREIGN["hu"].split())), "; ".join(FOREIGN["el"].split())])["profile"]
+
+
+def test_kinds_by_labelled_texts(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9)))
+    make = {"list": lambda: "\n".join(f"{word()} {word()}" for _ in range(20)), "table": lambda: "\n".join("\t".join(str(rng.random())[:5] for _ in range(6)) for _ in range(12)), "junk": lambda: " ".join(rng.choice("xyzq#@|~") for _ in range(80))}
+    rows = [(i, make[k](), k) for i, k in enumerate(["list", "table", "junk"] * 20)]
+    d = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, k) for i, _, k in rows[:30]] + [(1, None), (None, "list"), (999, "junk"), (2, "prose")], "doc_id bigint, label string")
+    got = {r.doc_id: r.profile for r in quality.statistics(d, labels).collect()}
+    assert all(got[i] == k for i, _, k in rows[30:])
+    assert quality.statistics(d, labels.where("false")).count() == len(rows)
+
+
 def test_statistics(spark):
     d = spark.createDataFrame([(i, t, "x") for i, (t, _) in enumerate(TEXTS)] + [(0, TEXTS[0][0], "x"), (77, "word " * 300_000, "x")], "doc_id bigint, text string, profile string")
     rows = {r.doc_id: r for r in quality.statistics(d).collect()}
