@@ -173,7 +173,7 @@ def measure(texts: list[str | None], kinds_by: tuple[np.ndarray, np.ndarray, lis
         for i in range(0, len(rest), 512):
             at = rest[i : i + 512]
             nearest[at] = of[_apart(words[at], chars[at], known, kinds_by[1]).argmin(axis=1)]
-    few = np.array(out["n_words"]) < 3
+    few = words_at.sum(axis=1) < 3
     for k, kind in enumerate(KINDS):
         out[f"divergence_{kind}"] = far[:, k].tolist()
     out["profile"] = [KINDS[3 if e else k] for k, e in zip(nearest, few)]
@@ -217,7 +217,7 @@ def statistics(documents: DataFrame, labels: DataFrame | None = None) -> DataFra
     """One row of figures for each row of documents (see SCHEMA).
 
     A null or empty text has zero counts, no language and the profile junk, as has a text of fewer
-    than three words. Ties between profiles go to the first of prose, list, table, junk. Repeated
+    than three words and numbers. Ties between profiles go to the first of prose, list, table, junk. Repeated
     rows are measured each. Columns besides doc_id and text are ignored. With `labels` the kinds of
     what is no prose are told apart by the labelled texts' profiles.
     """
