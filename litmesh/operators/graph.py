@@ -89,12 +89,12 @@ def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def _move(adj: list[dict[int, float]], loops: np.ndarray, two_m: float, resolution: float) -> np.ndarray:
-    """One level of local moving, nodes and candidate communities in ascending order."""
+    """One level of local moving, nodes and candidate communities in ascending order, until none gains by moving; each move raises the modularity, so that ends."""
     n = len(adj)
     of = np.arange(n)
     degree = np.array([sum(x.values()) for x in adj]) + loops
     total = degree.copy()
-    for _ in range(40):
+    while True:
         moved = False
         for i in range(n):
             near: dict[int, float] = {}
@@ -125,7 +125,7 @@ def louvain_local(pairs: pd.DataFrame, two_m: float, resolution: float = 1.0) ->
         adj[a][b] = adj[a].get(b, 0.0) + w
         adj[b][a] = adj[b].get(a, 0.0) + w
     of, loops = np.arange(len(keys)), np.zeros(len(keys))
-    for _ in range(20):
+    while True:
         level = _move(adj, loops, two_m, resolution)
         n = int(level.max()) + 1 if len(level) else 0
         of = level[of]
@@ -312,7 +312,8 @@ def neighbourhood(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
 
     Each step joins only the works reached last with the edges and drops those reached before.
     """
-    both = edges.select(F.col("from_key").alias("key"), F.col("to_key").alias("next")).unionByName(edges.select(F.col("to_key").alias("key"), F.col("from_key").alias("next"))).where(F.col("key") != F.col("next")).distinct()
+    both = edges.select(F.col("from_key").alias("key"), F.col("to_key").alias("next")).unionByName(edges.select(F.col("to_key").alias("key"), F.col("from_key").alias("next"))).where(F.col("key") != F.col("next"))
+    both = stage(both.distinct()) if depth > 1 else both
     reached = start.select("key").distinct().withColumn("distance", F.lit(0))
     edge = reached
     for d in range(1, depth + 1):
@@ -335,8 +336,10 @@ def namesakes(nodes: DataFrame) -> DataFrame:
     Of nodes with one label, held ones first by item_id, then outside ones by key, each gets a
     letter; after a digit it follows at once, else after a dash. "?" stays.
     """
+    bare = nodes.where("label = '?' or label is null").select("key", "label")  # many have none; they are not ranked
+    nodes = nodes.where("label <> '?'")
     w = Window.partitionBy("label").orderBy(F.desc("held"), "item_id", "key")
     n = nodes.withColumn("n", F.count("*").over(Window.partitionBy("label"))).withColumn("i", F.row_number().over(w) - 1)
     letters = ids.suffix_letters(F.col("i"))
     joined = F.concat("label", F.when(F.col("label").rlike(r"\d$"), "").otherwise("-"), letters)
-    return n.select("key", F.when((F.col("n") > 1) & (F.col("label") != "?"), joined).otherwise(F.col("label")).alias("label"))
+    return n.select("key", F.when(F.col("n") > 1, joined).otherwise(F.col("label")).alias("label")).unionByName(bare)

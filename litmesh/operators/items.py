@@ -6,12 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litmesh.functions import ids
+from litmesh.session import stage
+
+
+def last_deliveries(items: DataFrame, key: str, *columns: str) -> DataFrame:
+    """(key, columns) of each key's last delivery by (synced_at, seq); of whole rows repeated one. Rows without key are left out.
+
+    Only keys and times are shuffled to find what was delivered again, and only those few keys' rows are compared."""
+    at = F.struct("synced_at", "seq")
+    wanted = [F.col(c) for c in dict.fromkeys((key, *columns))]
+    known = items.where(F.col(key).isNotNull())
+    again = stage(known.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key))
+    once = known.join(again, key, "left_anti").select(*wanted)
+    rest = [c for c in dict.fromkeys(columns) if c != key]
+    last = known.join(again, key, "left_semi").groupBy(key).agg(F.max_by(F.struct(*rest), at).alias("_r"))
+    return once.unionByName(last.select(key, "_r.*"))
 
 
 def current(items: DataFrame) -> DataFrame:
     """One row for each item key: its last delivery by (synced_at, seq). Rows without key are left out."""
-    rest = [c for c in items.columns if c != "key"]
-    return items.where(F.col("key").isNotNull()).groupBy("key").agg(F.max_by(F.struct(*rest), F.struct("synced_at", "seq")).alias("_r")).select("key", "_r.*")
+    return last_deliveries(items, "key", *[c for c in items.columns if c != "key"])
 
 
 def records(items: DataFrame) -> DataFrame:

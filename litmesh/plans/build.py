@@ -76,13 +76,15 @@ class Graph:
     errors: dict[str, str]
 
 
-def build(context: Context, *, only: list[str] | None = None, without: tuple[str, ...] = (), offline: bool = True) -> Graph:
-    """Runs the chosen strategies; one that fails while it is planned is reported in `errors`, the others' edges stand."""
+def build(context: Context, *, only: list[str] | None = None, without: tuple[str, ...] = (), offline: bool = True, partial: bool = False) -> Graph:
+    """Runs the chosen strategies. One that fails while it is planned fails the build; with `partial` it is reported in `errors` and the others' edges stand."""
     parts, errors = [], {}
     for p in PROVIDERS.select(only, without, offline):
         try:
             parts.append(p.derive(context).select(*X.EDGE))
         except Exception as e:  # noqa: BLE001 - one strategy's failure is no other's
+            if not partial:
+                raise RuntimeError(f"strategy {p.id} failed") from e
             errors[p.id] = str(e)
     if not parts:
         raise ValueError(f"no strategy gave edges: {errors}")

@@ -485,27 +485,12 @@ dir AS (SELECT DISTINCT least(f, t) AS a, greatest(f, t) AS b FROM link WHERE t
 cp AS (SELECT a, b, sum(w) AS w, bool_or(d) AS direct FROM (SELECT sh.a, sh.b, sh.n / sqrt(x.n * y.n) AS w, false AS d FROM sh JOIN size x ON x.f = sh.a JOIN size y ON y.f = sh.b UNION ALL SELECT a, b, 0.5, true FROM dir) GROUP BY 1, 2)"""
 
 
-@R.add("gr1_coupling", "WITH " + COUPLING.format(share=0.02) + " SELECT a, b, round(w, 9) AS w, direct FROM cp")
-def _(s, d):
-    return G.coupling(edges_of(s, d), table(s, d, "items"), max_share=0.02).select("a", "b", F.round("w", 9).alias("w"), "direct")
-
-
-@R.add("gr3_modularity", "WITH " + COUPLING.format(share=0.02) + f", {CURRENT}, c AS (SELECT key, item_type AS comm FROM cur), p AS (SELECT x.comm AS ca, y.comm AS cb, w FROM cp JOIN c x ON x.key = a JOIN c y ON y.key = b), e AS (SELECT ca AS c, w, CASE WHEN ca = cb THEN w ELSE 0 END AS i FROM p UNION ALL SELECT cb, w, 0 FROM p), t AS (SELECT c, sum(w) AS tot, sum(i) AS i FROM e GROUP BY c), m AS (SELECT sum(tot) AS m FROM t) SELECT round(sum(i / (m / 2) - power(tot / m, 2)), 6) AS modularity, count(*) AS communities FROM t, m")
-def _(s, d):
-    p = stage(G.coupling(edges_of(s, d), table(s, d, "items"), max_share=0.02))
-    c = I.current(table(s, d, "items")).select("key", F.col("item_type").alias("comm"))
-    return G.modularity(p, c).select(F.round("modularity", 6).alias("modularity"), "communities")
-
-
-# gr1 and gr3 keep the hub cap that their SQL names; these two are the whole job, too large for SQL.
-
-
-@R.add("gr1_coupling_whole")
+@R.add("gr1_coupling", "WITH " + COUPLING.format(share=0.5) + " SELECT a, b, round(w, 9) AS w, direct FROM cp")
 def _(s, d):
     return G.coupling(edges_of(s, d), table(s, d, "items")).select("a", "b", F.round("w", 9).alias("w"), "direct")
 
 
-@R.add("gr3_modularity_whole")
+@R.add("gr3_modularity", "WITH " + COUPLING.format(share=0.5) + f", {CURRENT}, c AS (SELECT key, item_type AS comm FROM cur), p AS (SELECT x.comm AS ca, y.comm AS cb, w FROM cp JOIN c x ON x.key = a JOIN c y ON y.key = b), e AS (SELECT ca AS c, w, CASE WHEN ca = cb THEN w ELSE 0 END AS i FROM p UNION ALL SELECT cb, w, 0 FROM p), t AS (SELECT c, sum(w) AS tot, sum(i) AS i FROM e GROUP BY c), m AS (SELECT sum(tot) AS m FROM t) SELECT round(sum(i / (m / 2) - power(tot / m, 2)), 6) AS modularity, count(*) AS communities FROM t, m")
 def _(s, d):
     p = stage(G.coupling(edges_of(s, d), table(s, d, "items")))
     c = I.current(table(s, d, "items")).select("key", F.col("item_type").alias("comm"))

@@ -6,6 +6,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
+from litmesh.functions import ids
 from litmesh.functions import kernels as K
 from litmesh.functions.references import section_udf
 from litmesh.operators import edges as E
@@ -24,6 +25,53 @@ def texts_of(s, d):
     return table(s, d, "documents").where("att_key is not null and text is not null").select("att_key", "text").join(a, "att_key").select("att_key", "parent_key", "text")
 
 
+CLOSING = "Library, “An entry that closes every list so that each is long enough to be one,” Annals of Closing Entries, vol. 1, pp. 1, 1901."
+BODY = "This work is held by the library and its text goes on for a while before it comes to what it cites. " * 6
+
+
+def printed_of(s, d):
+    """(parent_key, to_key, …): what a held work prints of each work it cites, whether held or known from elsewhere."""
+    cites = edges_of(s, d).where("from_key <> to_key").select(F.col("from_key").alias("parent_key"), "to_key").distinct()
+    i = items_of(s, d)
+    venue = F.coalesce(F.nullif("journal_abbreviation", F.lit("")), F.nullif("publication", F.lit("")))
+    held = i.select(F.col("key").alias("to_key"), "title", F.get("creators", 0).alias("author"), "year", venue.alias("venue"), "volume", ids.first_page(F.col("pages")).alias("page"), F.col("norm_doi").alias("doi"))
+    w = table(s, d, "described").join(i.select("key"), "key", "left_anti")
+    outside = w.select(F.col("key").alias("to_key"), "title", F.get("creators", 0).alias("author"), "year", "venue", "volume", ids.first_page(F.col("pages")).alias("page"), F.when(F.col("key").startswith("doi:"), F.substring("key", 5, 1000)).alias("doi"))
+    return cites.join(i.select(F.col("key").alias("parent_key")), "parent_key", "left_semi").join(held.unionByName(outside), "to_key")
+
+
+def written_texts(s, d):
+    """(att_key, parent_key, text): a text for each held work that cites a described one, its references in one of eight styles."""
+    p = printed_of(s, d)
+    name, year = F.coalesce(F.regexp_extract("author", r"([^\s,]+),|([^\s,]+)$", 0), F.lit("")), F.coalesce(F.col("year").cast("string"), F.lit("n.d."))
+    name = F.when(name == "", "Anonymous").otherwise(F.initcap(F.regexp_replace(name, r"[^\p{L}'-]", "")))
+    text = lambda *parts: F.concat_ws("", *parts)  # noqa: E731  leaves out what is null
+    title, venue, volume, page = (F.coalesce(c, F.lit("")) for c in ("title", "venue", "volume", "page"))
+    styles = (
+        text(F.lit("A. "), name, F.lit(", “"), title, F.lit(",” "), venue, F.lit(", vol. "), volume, F.lit(", "), page, F.lit(", "), year, F.lit(".")),
+        text(name, F.lit(", A. ("), year, F.lit("). "), title, F.lit(". "), venue, F.lit(", "), volume, F.lit(", "), page, F.lit(".")),
+        text(F.lit("Ada "), name, F.lit(". "), year, F.lit(". "), title, F.lit(". "), venue, F.lit(" "), volume, F.lit(", "), page, F.lit(".")),
+        text(name, F.lit(" AB. "), title, F.lit(". "), venue, F.lit(". "), year, F.lit(";"), volume, F.lit(":"), page, F.lit(".")),
+        text(name, F.lit(", A. "), title, F.lit(". "), venue, F.lit(" "), volume, F.lit(", "), page, F.lit(" ("), year, F.lit(").")),
+        text(F.lit("A. "), name, F.lit(", "), title, F.lit(", "), venue, F.lit(" "), volume, F.lit(" ("), year, F.lit(") "), page, F.lit(".")),
+        text(name, F.lit(", A. "), year, F.lit(" "), title, F.lit(". "), venue, F.lit(" "), volume, F.lit(", "), page, F.lit(".")),
+        text(name, F.lit(": "), title, F.lit("; "), venue, F.lit("; "), volume, F.lit(", "), page, F.lit("; "), year, F.lit(".")),
+    )
+    kind = F.pmod(F.xxhash64("parent_key"), F.lit(len(styles)))
+    entry = F.coalesce(*[F.when(kind == k, x) for k, x in enumerate(styles)])
+    entry = F.concat(F.regexp_replace(entry, r"\s+", " "), F.coalesce(F.concat(F.lit(" doi:"), F.col("doi")), F.lit("")))
+    lists = p.groupBy("parent_key").agg(F.array_sort(F.collect_list(F.struct("to_key", entry.alias("entry")))).alias("es"))
+    lines = F.concat(F.transform("es", lambda e: e["entry"]), F.array(F.lit(CLOSING)))
+    numbered = F.transform(lines, lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x))
+    return lists.select(F.concat(F.lit("A"), "parent_key").alias("att_key"), "parent_key", F.concat(F.lit(BODY + "\nReferences\n"), F.array_join(numbered, "\n")).alias("text"))
+
+
+FOLDED = r"trim(regexp_replace(regexp_replace(lower(strip_accents(lower(coalesce({0}, '')))), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g'))"
+#: What `printed_of` gives of DOIs and titles; FOUND has the DOIs that a text shows of them.
+PRINTED = f"""prt AS (SELECT DISTINCT e.from_key AS f, e.to_key AS t, w.title, w.doi FROM edges e JOIN (SELECT key, title, norm_doi AS doi FROM rec UNION ALL SELECT key, title, CASE WHEN starts_with(key, 'doi:') THEN substr(key, 5) END FROM described WHERE key NOT IN (SELECT key FROM rec)) w ON w.key = e.to_key WHERE e.from_key <> e.to_key AND e.from_key IN (SELECT key FROM rec))"""
+FOUND = r"""fnd AS (SELECT DISTINCT f, x AS doi FROM (SELECT f, """ + norm_doi_sql(r"regexp_extract(doi, '10\.\d{4,9}/[-._;()/:<>a-zA-Z0-9]+')") + r""" AS x FROM prt WHERE doi IS NOT NULL) WHERE x IS NOT NULL AND regexp_matches(regexp_replace(x, '^[^/]*/', ''), '\d'))"""
+
+
 def _values(s, d):
     """The items as an attribute store, the way the library's database keeps them."""
     i = I.current(table(s, d, "items"))
@@ -74,12 +122,13 @@ def _pdf_bytes(s, d):
     """A small PDF for each attachment that names a DOI, one link in sight and one in a compressed stream."""
     urls = table(s, d, "attachments").select("att_key", "parent_key").distinct().join(edges_of(s, d).where("to_key like 'doi:%'").groupBy(F.col("from_key").alias("parent_key")).agg(F.min("to_key").alias("a"), F.max("to_key").alias("b")), "parent_key")
 
-    @F.udf("binary")
-    def pdf(a: str, b: str) -> bytes:
-        packed = zlib.compress(f"1 0 <</S/URI/URI (https://doi.org/{b[4:]})>>".encode())
-        return f"%PDF-1.5\n<</S/URI/URI (https://doi.org/{a[4:]})>>\n<</Type/ObjStm/Filter/FlateDecode/Length {len(packed)}>>\nstream\n".encode() + packed + b"\nendstream\n%%EOF"
+    def pdf(frames):
+        for f in frames:
+            packed = [zlib.compress(f"1 0 <</S/URI/URI (https://doi.org/{b[4:]})>>".encode()) for b in f["b"]]
+            head = (f"%PDF-1.5\n<</S/URI/URI (https://doi.org/{a[4:]})>>\n<</Type/ObjStm/Filter/FlateDecode/Length {len(x)}>>\nstream\n".encode() for a, x in zip(f["a"], packed))
+            yield f[["att_key", "parent_key"]].assign(content=[h + x + b"\nendstream\n%%EOF" for h, x in zip(head, packed)])
 
-    return urls.select("att_key", "parent_key", pdf("a", "b").alias("content"))
+    return urls.select("att_key", "parent_key", "a", "b").mapInPandas(pdf, "att_key string, parent_key string, content binary")
 
 
 @R.add("src7_pdf_uris")
@@ -148,14 +197,12 @@ def _(s, d):
 
 @R.add("doc2_entries")
 def _(s, d):
-    docs = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("att_key"), F.col("library_key").alias("parent_key"), "text")
-    return X.entries(X.sections(docs)).select(F.col("att_key").alias("doc_id"), "pos", "layout", "style", "surname", "year", "title", "parse_confidence")
+    return X.entries(X.sections(written_texts(s, d))).select("parent_key", "pos", "layout", "style", "surname", "year", "title", "parse_confidence")
 
 
 @R.add("doc8_styles")
 def _(s, d):
-    docs = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("att_key"), F.col("library_key").alias("parent_key"), "text")
-    return X.entries(X.sections(docs)).groupBy("style", "layout").agg(F.count("*").alias("entries"), F.count("title").alias("titled"))
+    return X.entries(X.sections(written_texts(s, d))).groupBy("style", "layout").agg(F.count("*").alias("entries"), F.count("title").alias("titled"))
 
 
 # --- resolution --------------------------------------------------------------
@@ -170,27 +217,24 @@ def _(s, d):
     return X.pdf_links(uris, i, I.by_doi(i)).groupBy("from_key", "to_key").agg(F.count("*").alias("n"))
 
 
-@R.add("jn2_text_doi")
+@R.add("jn2_text_doi", f"WITH {REC}, {PRINTED}, {FOUND}, ix AS (SELECT norm_doi AS doi, arg_max(key, (seq, key)) AS key FROM rec WHERE norm_doi IS NOT NULL GROUP BY 1) SELECT DISTINCT f AS from_key, coalesce(ix.key, 'doi:' || fnd.doi) AS to_key, 0.9::DOUBLE AS confidence FROM fnd JOIN rec r ON r.key = fnd.f LEFT JOIN ix ON ix.doi = fnd.doi WHERE NOT coalesce(fnd.doi = r.norm_doi, false) AND (ix.key IS NULL OR ix.key <> f)")
 def _(s, d):
     i = items_of(s, d)
-    return X.text_doi(X.sections(texts_of(s, d)), i, I.by_doi(i)).select("from_key", "to_key", "confidence").distinct()
+    return X.text_doi(X.sections(written_texts(s, d)), i, I.by_doi(i)).select("from_key", "to_key", "confidence").distinct()
 
 
-@R.add("jn3_title_match")
+@R.add("jn3_title_match", f"WITH {REC}, {PRINTED}, txt AS (SELECT f, string_agg({FOLDED.format('title')}, ' | ') AS n FROM prt WHERE title IS NOT NULL GROUP BY f), ttl AS (SELECT key, year, {FOLDED.format('title')} AS t FROM rec) SELECT f AS from_key, ttl.key AS to_key, 0.8::DOUBLE AS confidence FROM txt JOIN rec r ON r.key = f JOIN ttl ON length(t) >= 30 AND contains(n, t) WHERE ttl.key <> f AND NOT coalesce(ttl.year > r.year + 1, false)")
 def _(s, d):
-    return X.title_match(X.sections(texts_of(s, d)), items_of(s, d)).select("from_key", "to_key", "confidence").distinct()
+    return X.title_match(X.sections(written_texts(s, d)), items_of(s, d)).select("from_key", "to_key", "confidence").distinct()
 
 
 @R.add("jn4_locator_match")
 def _(s, d):
-    return X.locator_match(X.sections(texts_of(s, d)), items_of(s, d)).select("from_key", "to_key", "confidence").distinct()
+    return X.locator_match(X.sections(written_texts(s, d)), items_of(s, d)).select("from_key", "to_key", "confidence").distinct()
 
 
 def _parsed(s, d):
-    """Described works as if parsed from the reference sections of the works that cite them."""
-    cites = edges_of(s, d).select("from_key", F.col("to_key").alias("key")).distinct()
-    w = table(s, d, "described").select("key", "title", F.get("creators", 0).alias("surname"), "year", F.when(F.col("key").startswith("doi:"), F.substring("key", 5, 1000)).alias("doi"))
-    return cites.join(w, "key").select(F.concat(F.lit("A"), "from_key").alias("att_key"), F.col("from_key").alias("parent_key"), F.lit("numbered").alias("quality"), "title", "surname", "year", "doi", F.lit(None).cast("string").alias("arxiv_id"), F.lit(0.8).alias("parse_confidence"))
+    return X.entries(X.sections(written_texts(s, d)))
 
 
 @R.add("jn5_ref_strings")
@@ -233,10 +277,10 @@ def _(s, d):
 
 @R.add("plan_build")
 def _(s, d):
-    """The whole build over the library's documents, every offline strategy, parsed references too."""
+    """The whole build over the library's documents and the texts of its citing works, every offline strategy, parsed references too."""
     a = table(s, d, "attachments").select("att_key", "parent_key").distinct()
     uris = S.uris_of(_pdf_bytes(s, d)).join(a, "att_key")
-    g = build(Context(items_of(s, d), X.sections(texts_of(s, d)), uris), only=["pdf-links", "text-doi", "title-match", "locator-match", "ref-strings"])
+    g = build(Context(items_of(s, d), X.sections(texts_of(s, d).unionByName(written_texts(s, d))), uris), only=["pdf-links", "text-doi", "title-match", "locator-match", "ref-strings"])
     return g.edges.select("from_key", "to_key", "confidence", joined("via"))
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 import zlib
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Kinds of rows that are no works, fields that name the venue, and the largest file read: fixed values.
+from litmesh.session import stage
+
+#: Kinds of rows that are no works, fields that name the venue, and the largest file a task holds.
 NOT_WORKS = ("attachment", "note", "annotation")
 VENUE_FIELDS = ("publicationTitle", "proceedingsTitle", "bookTitle")
 MOST_BYTES = 256 << 20
@@ -49,14 +50,15 @@ def texts(cached: DataFrame, extracted: DataFrame) -> DataFrame:
     return cached.join(e, "att_key", "full_outer").select("att_key", F.coalesce("text", "_t").alias("text"))
 
 
-def collection_items(membership: DataFrame, tree: DataFrame, root: str, *, recursive: bool = True, depth: int = 32) -> DataFrame:
+def collection_items(membership: DataFrame, tree: DataFrame, root: str, *, recursive: bool = True) -> DataFrame:
     """(key): items in a collection, and in those below it; `membership` is (collection, key), `tree` (collection, parent)."""
     scope = level = tree.sparkSession.createDataFrame([(root,)], "collection string")
-    for _ in range(depth if recursive else 0):
+    while recursive:  # each round adds collections that were not there, so a circle ends too
         below = tree.join(level.withColumnRenamed("collection", "parent"), "parent", "left_semi").select("collection").join(scope, "collection", "left_anti").distinct()
         if below.isEmpty():
             break
-        level, scope = below, scope.unionByName(below)
+        level = stage(below)
+        scope = scope.unionByName(level)
     return membership.join(scope, "collection", "left_semi").select("key").distinct()
 
 
@@ -70,14 +72,15 @@ def _unescape(raw: bytes) -> str:
     return re.sub(rb"\\(.)", rb"\1", raw).decode("latin-1")
 
 
-def scan_uris(data: bytes | None) -> list[str]:
-    """Link targets of a PDF: those in plain sight, and those in compressed object streams, cut at their stated length."""
-    if not data or len(data) > MOST_BYTES:
+def scan_uris(data: bytes | None, every: bool = False) -> list[str]:
+    """Link targets of a PDF: those in plain sight, and those in compressed object streams, or with `every` in all
+    compressed streams; a stream ends at its stated length."""
+    if not data:
         return []
     found = [_unescape(m) for m in URI.findall(data)]
     for m in re.finditer(rb"<<((?:[^<>]|<<[^<>]*>>|<[^<>]*>)*)>>\s*stream\r?\n", data):
         head = m[1]
-        if b"/ObjStm" not in head or b"/FlateDecode" not in head:
+        if b"/FlateDecode" not in head or not (every or b"/ObjStm" in head):
             continue
         n = re.search(rb"/Length\s+(\d+)(?!\s+\d+\s+R)", head)
         stop = m.end() + int(n[1]) if n else data.find(b"endstream", m.end())
@@ -88,23 +91,25 @@ def scan_uris(data: bytes | None) -> list[str]:
     return list(dict.fromkeys(found))
 
 
-def pdf_uris(spark: SparkSession, path: str) -> DataFrame:
-    """(path, uris) of the PDFs under a folder; files over MOST_BYTES are not read at all, empty ones are not listed."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= MOST_BYTES)
+def pdf_uris(spark: SparkSession, path: str, *, every: bool = False, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(path, uris) of the PDFs under a folder. A file over `most_bytes` is not read, since a task holds it whole: its uris are null, those of a file without links an empty list."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path)
 
     def scan(frames):
         for f in frames:
-            yield pd.DataFrame({"path": f["path"], "uris": f["content"].map(scan_uris)})
+            yield pd.DataFrame({"path": f["path"], "uris": f["content"].map(lambda x: scan_uris(x, every))})
 
-    return files.select("path", "content").mapInPandas(scan, "path string, uris array<string>")
+    schema = "path string, uris array<string>"
+    read = files.where(F.col("length") <= most_bytes).select("path", "content").mapInPandas(scan, schema)
+    return read.unionByName(files.where(F.col("length") > most_bytes).select("path", F.lit(None).cast("array<string>").alias("uris")))
 
 
-def uris_of(content: DataFrame) -> DataFrame:
+def uris_of(content: DataFrame, *, every: bool = False) -> DataFrame:
     """(att_key, uris) of (att_key, content)."""
 
     def scan(frames):
         for f in frames:
-            yield pd.DataFrame({"att_key": f["att_key"], "uris": f["content"].map(scan_uris)})
+            yield pd.DataFrame({"att_key": f["att_key"], "uris": f["content"].map(lambda x: scan_uris(x, every))})
 
     return content.select("att_key", "content").mapInPandas(scan, "att_key string, uris array<string>")
 
@@ -133,16 +138,17 @@ def page_lines(items: DataFrame, *, line_gap: float = 3.0, gutter: float = 24.0)
     return items.groupBy("page").applyInPandas(one, "page int, column int, line int, text string")
 
 
-def synthetic(spark: SparkSession, n: int, seed: int = 1, edge_ratio: float = 1.4, external: float = 0.12) -> tuple[DataFrame, DataFrame]:
-    """(items, edges) of a made-up library: preferential attachment, heavy-tailed counts, the same for the same seed."""
-    rng = np.random.default_rng(seed)
-    keys = [f"S{i:07d}" for i in range(n)]
-    year = rng.integers(1970, 2026, n)
-    items = pd.DataFrame({"key": keys, "seq": range(n), "title": [f"Synthetic work number {i}" for i in range(n)], "year": year, "count": np.floor(rng.pareto(1.2, n) * 10).astype(int)})
-    weight, pairs = np.ones(n), set()
-    for _ in range(int(edge_ratio * n)):
-        a, b = int(rng.integers(n)), int(rng.choice(n, p=weight / weight.sum()))
-        if a != b:
-            pairs.add((keys[a], f"doi:10.5555/x{b}" if rng.random() < external else keys[b]))
-            weight[b] += 1
-    return spark.createDataFrame(items), spark.createDataFrame(pd.DataFrame(sorted(pairs), columns=["from_key", "to_key"]))
+def synthetic(spark: SparkSession, n: int, seed: int = 1, edge_ratio: float = 1.4, external: float = 0.12, first: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(items, edges) of a made-up library: works `first` to `first + n`, heavy-tailed counts and citations, the same for the same seed.
+
+    Rows are made by tasks from hashes of their numbers. A work is cited in proportion to the root of its
+    age, so the library grows by calling again with `first` where it ended: older works stay the most cited.
+    """
+    uniform = lambda salt: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    key = lambda c: F.concat(F.lit("S"), F.lpad(c.cast("long").cast("string"), 9, "0"))
+    works = spark.range(first, first + n)
+    items = works.select(key(F.col("id")).alias("key"), F.col("id").alias("seq"), F.concat(F.lit("Synthetic work number "), "id").alias("title"), (1970 + F.floor(uniform(1) * 56)).cast("int").alias("year"), F.floor(10 * (F.pow(uniform(2), F.lit(-1 / 1.2)) - 1)).cast("long").alias("count"))
+    cites = spark.range(int(edge_ratio * first), int(edge_ratio * (first + n)))
+    ends = cites.select((first + F.floor(uniform(3) * n)).alias("a"), F.floor(F.pow(uniform(4), F.lit(2)) * (first + n)).alias("b"), (uniform(5) < external).alias("out")).where("a <> b")
+    to = F.when(F.col("out"), F.concat(F.lit("doi:10.5555/x"), F.col("b"))).otherwise(key(F.col("b")))
+    return items, ends.select(key(F.col("a")).alias("from_key"), to.alias("to_key")).distinct()

@@ -133,7 +133,7 @@ def test_coupling_queries_are_registered_over_the_whole_job(spark, sf):
     pairs = [(r.from_key, r.to_key) for r in spark.read.parquet(f"{sf}/edges.parquet").select("from_key", "to_key").distinct().collect()]
     held = {r.key for r in spark.read.parquet(f"{sf}/items.parquet").select("key").distinct().collect()}
     want = naive_coupling(pairs, held)
-    assert {(r.a, r.b): r.w for r in q["gr1_coupling_whole"](spark, sf).collect()} == pytest.approx(want, abs=1e-8)
+    assert {(r.a, r.b): r.w for r in q["gr1_coupling"](spark, sf).collect()} == pytest.approx(want, abs=1e-8)
     coupled = spark.createDataFrame([(a, b, w) for (a, b), w in sorted(want.items())], "a string, b string, w double")
     everyone = {k for p in want for k in p}
     for name in ("gr2_louvain", "gr5_clusters"):
@@ -147,7 +147,7 @@ def test_coupling_queries_are_registered_over_the_whole_job(spark, sf):
         inside += w * (kinds[a] == kinds[b])
         for k in (a, b):
             ends[kinds[k]] = ends.get(kinds[k], 0.0) + w
-    got = q["gr3_modularity_whole"](spark, sf).first()
+    got = q["gr3_modularity"](spark, sf).first()
     assert (got.modularity, got.communities) == (pytest.approx(inside / total - sum((t / (2 * total)) ** 2 for t in ends.values()), abs=1e-5), len(ends))
 
 
