@@ -81,3 +81,19 @@ def compare_runs(runs: DataFrame, noise: float = 0.08) -> DataFrame:
     best = runs.groupBy("scene").agg(*[F.min(F.when(F.col("run") == r, F.col("seconds"))).alias(r) for r in ("before", "after")], F.max(F.when(F.col("run") == "after", F.col("seconds"))).alias("_most"))
     delta = (F.col("after") - F.col("before")) / F.col("before")
     return best.select("scene", "before", "after", ((F.col("_most") - F.col("after")) / F.col("after")).alias("spread"), delta.alias("delta"), F.when(delta > noise, "slower").when(delta < -noise, "faster").otherwise("same").alias("verdict"))
+
+
+def report(now: DataFrame, before: DataFrame) -> DataFrame:
+    """(strategy, and of precision, recall and f1 what they are, were and by how much they changed) of two `accuracy` results; a strategy of one run only has nulls."""
+    names = ("precision", "recall", "f1")
+    j = now.select("strategy", *(F.col(c).alias(f"{c}_now") for c in names)).join(before.select("strategy", *(F.col(c).alias(f"{c}_before") for c in names)), "strategy", "full_outer")
+    return j.select("strategy", *(x for c in names for x in (F.col(f"{c}_now"), F.col(f"{c}_before"), (F.col(f"{c}_now") - F.col(f"{c}_before")).alias(f"{c}_delta"))))
+
+
+def markdown(table: DataFrame, *, most: int = 1000) -> str:
+    """A report of few rows as a Markdown table, numbers with three places; more than `most` rows are an error."""
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows is no report")
+    cell = lambda v: "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
+    return "\n".join("| " + " | ".join(map(cell, r)) + " |" for r in (table.columns, ["---"] * len(table.columns), *rows))

@@ -70,3 +70,15 @@ def view_stats(nodes: DataFrame, edges: DataFrame, items: DataFrame) -> DataFram
     """(shown, total, ghosts, named_ghosts, edges): one row."""
     n = nodes.agg(F.count_if("held").alias("shown"), F.count_if(~F.col("held")).alias("ghosts"), F.count_if(~F.col("held") & F.col("year").isNotNull()).alias("named_ghosts"))
     return n.withColumn("edges", F.lit(edges.count())).withColumn("total", F.lit(items.count())).select("shown", "total", "ghosts", "named_ghosts", "edges")
+
+
+def payload(items: DataFrame, merged: DataFrame, described: DataFrame, meta: dict) -> DataFrame:
+    """(part, json): what a page of the graph is made of: items with the counts known elsewhere, outside works with what is known of them, edges, and one row of `meta`.
+
+    Rows leave in no order and are written by tasks; nothing is gathered."""
+    known = described.groupBy("key").agg(F.min_by(F.struct("title", "creators", "year", "cited_by_global"), F.struct("title", "year")).alias("m"))
+    held = items.select("key", "title", "creators", "year", "item_type", "publication", "collections", "tags", "norm_doi")
+    ghosts = E.external_nodes(merged).join(known, "key", "left").select("key", "ns", "id", "cited_by", "confidence", "m.*")
+    part = lambda df, name: df.select(F.lit(name).alias("part"), F.to_json(F.struct("*")).alias("json"))
+    one = items.sparkSession.createDataFrame([("meta", json.dumps(meta, sort_keys=True))], "part string, json string")
+    return part(held, "item").unionByName(part(ghosts, "external")).unionByName(part(E.wire(merged), "edge")).unionByName(one)

@@ -9,6 +9,7 @@ from litmesh.functions import ids, scores
 from litmesh.operators import edges as E
 from litmesh.operators import graph as G
 from litmesh.operators import items as I
+from litmesh.operators import layout as Y
 from litmesh.registry import Registry
 from litmesh.session import stage, table
 
@@ -204,11 +205,6 @@ def _(s, d):
     return n.select("n", ids.suffix_letters(F.col("n")).alias("letters"))
 
 
-@R.add("fn33_hash_index")
-def _(s, d):
-    return edges_of(s, d).select("to_key").distinct().select("to_key", ids.hash_index(F.col("to_key"), 12).alias("slot"))
-
-
 @R.add("fn34_year_colour", "WITH y AS (SELECT DISTINCT year FROM described WHERE year IS NOT NULL), r AS (SELECT min(year) AS a, max(year) AS b FROM y), t AS (SELECT year, CASE WHEN b > a THEN (year - a)::DOUBLE / (b - a) ELSE 0.5::DOUBLE END AS t FROM y, r) SELECT year, CAST((16 + CAST(round((239 - 16) * t) AS INTEGER)) * 65536 + (32 + CAST(round((96 - 32) * t) AS INTEGER)) * 256 + 64 AS INTEGER) AS colour FROM t")
 def _(s, d):
     y = table(s, d, "described").where("year is not null").select("year").distinct()
@@ -241,8 +237,9 @@ def _(s, d):
 
 @R.add("fn40_colour_keys", "WITH " + REC + " SELECT coalesce(CAST(year AS VARCHAR), '(none)') AS year, coalesce(nullif(publication, ''), '(none)') AS publication, count(*) AS items FROM rec GROUP BY 1, 2")
 def _(s, d):
-    none = lambda c: F.coalesce(F.nullif(c.cast("string"), F.lit("")), F.lit("(none)"))
-    return items_of(s, d).groupBy(none(F.col("year")).alias("year"), none(F.col("publication")).alias("publication")).agg(F.count("*").alias("items"))
+    i = items_of(s, d)
+    of = lambda mode: Y.category(i, mode).withColumnRenamed("category", mode)
+    return of("year").join(of("publication"), "key").groupBy("year", "publication").agg(F.count("*").alias("items"))
 
 
 # --- merging and roll-ups ----------------------------------------------------
@@ -296,8 +293,7 @@ def _(s, d):
 @R.add("agg10_legend", "WITH " + REC + ", c AS (SELECT unnest(list_distinct(collections)) AS category FROM rec), n AS (SELECT category, count(*) AS items FROM c WHERE category IS NOT NULL AND category <> '' GROUP BY category), t AS (SELECT *, row_number() OVER (ORDER BY items DESC, category) AS r FROM n) SELECT CASE WHEN r <= 12 THEN category ELSE 'more' END AS category, CAST(sum(items) AS BIGINT) AS items, count(*) AS categories FROM t GROUP BY 1")
 def _(s, d):
     counts = I.facet_counts(I.facets(items_of(s, d)), ("collection",)).select(F.col("value").alias("category"), "items")
-    top = F.broadcast(counts.orderBy(F.desc("items"), "category").limit(12).select("category", F.lit(True).alias("top")))  # twelve rows
-    return counts.join(top, "category", "left").groupBy(F.when(F.col("top"), F.col("category")).otherwise("more").alias("category")).agg(F.sum("items").alias("items"), F.count("*").alias("categories"))
+    return Y.legend(counts)
 
 
 _FACETS = "f AS (SELECT key, 'author' AS field, unnest(list_distinct(creators)) AS value FROM rec UNION ALL SELECT key, 'tag', unnest(list_distinct(tags)) FROM rec UNION ALL SELECT key, 'collection', unnest(list_distinct(collections)) FROM rec UNION ALL SELECT key, 'publication', publication FROM rec UNION ALL SELECT key, 'type', item_type FROM rec UNION ALL SELECT key, 'year', CAST(year AS VARCHAR) FROM rec)"
@@ -310,8 +306,7 @@ def _(s, d):
 
 @R.add("agg15_group_pull", "SELECT l_suppkey AS g, round(sum(l_quantity * l_discount) / nullif(sum(l_discount), 0), 6) AS centre, round(least(sum(l_discount), 1), 6) AS pull FROM lineitem GROUP BY l_suppkey")
 def _(s, d):
-    w = F.sum("l_discount")
-    return table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("g")).agg(F.round(F.sum(F.col("l_quantity") * F.col("l_discount")) / F.nullif(w, F.lit(0.0)), 6).alias("centre"), F.round(F.least(w, F.lit(1.0)), 6).alias("pull"))
+    return Y.group_pull(table(s, d, "lineitem"), "l_suppkey", "l_quantity", "l_discount").select("g", F.round("centre", 6).alias("centre"), F.round("pull", 6).alias("pull"))
 
 
 @R.add("agg22_index_stats", f"WITH {REC}, t AS (SELECT *, {TITLE.format('title')} AS nt FROM rec) SELECT count(*) AS items, count(norm_doi) AS with_doi, count(DISTINCT norm_doi) AS dois, count(DISTINCT nt) AS titles, count(*) FILTER (WHERE length(nt) >= 30) AS title_targets FROM t")
@@ -561,8 +556,8 @@ def _(s, d):
 
 @R.add("gr11_placement", "WITH p AS (SELECT DISTINCT key, (year % 100)::DOUBLE AS x, length(title)::DOUBLE AS y FROM described WHERE year IS NOT NULL AND title IS NOT NULL) SELECT from_key AS key, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM (SELECT DISTINCT from_key, to_key FROM edges) JOIN p ON to_key = key GROUP BY from_key")
 def _(s, d):
-    p = table(s, d, "described").where("year is not null and title is not null").select(F.col("key").alias("to_key"), (F.col("year") % 100).alias("x"), F.length("title").alias("y"))
-    return edges_of(s, d).select("from_key", "to_key").distinct().join(p, "to_key").groupBy(F.col("from_key").alias("key")).agg(F.round(F.avg("x"), 6).alias("x"), F.round(F.avg("y"), 6).alias("y"))
+    p = table(s, d, "described").where("year is not null and title is not null").select("key", (F.col("year") % 100).alias("x"), F.length("title").alias("y"))
+    return Y.placement(edges_of(s, d), p).select("key", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -573,7 +568,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    from litmesh import queries_build, queries_view  # noqa: F401 - they add to R
+    from litmesh import queries_build, queries_more, queries_view  # noqa: F401 - they add to R
 
     return dict(R.queries)
 

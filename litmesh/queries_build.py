@@ -124,14 +124,23 @@ def _pdf_bytes(s, d):
 
     def pdf(frames):
         for f in frames:
-            packed = [zlib.compress(f"1 0 <</S/URI/URI (https://doi.org/{b[4:]})>>".encode()) for b in f["b"]]
-            head = (f"%PDF-1.5\n<</S/URI/URI (https://doi.org/{a[4:]})>>\n<</Type/ObjStm/Filter/FlateDecode/Length {len(x)}>>\nstream\n".encode() for a, x in zip(f["a"], packed))
+            safe = lambda x: x[4:].replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)")
+            packed = [zlib.compress(f"1 0 <</S/URI/URI (https://doi.org/{safe(b)})>>".encode("latin-1", "replace")) for b in f["b"]]
+            head = (f"%PDF-1.5\n<</S/URI/URI (https://doi.org/{safe(a)})>>\n<</Type/ObjStm/Filter/FlateDecode/Length {len(x)}>>\nstream\n".encode("latin-1", "replace") for a, x in zip(f["a"], packed))
             yield f[["att_key", "parent_key"]].assign(content=[h + x + b"\nendstream\n%%EOF" for h, x in zip(head, packed)])
 
     return urls.select("att_key", "parent_key", "a", "b").mapInPandas(pdf, "att_key string, parent_key string, content binary")
 
 
-@R.add("src7_pdf_uris")
+_LINKED = "SELECT a.att_key, array_to_string(list_sort(list_distinct(['https://doi.org/' || substr(min(to_key), 5), 'https://doi.org/' || substr(max(to_key), 5)])), ' ') AS uris FROM (SELECT DISTINCT att_key, parent_key FROM attachments) a JOIN edges ON from_key = parent_key WHERE to_key LIKE 'doi:%' GROUP BY a.att_key, a.parent_key"
+
+
+@R.add("src7_pdf_uris", _LINKED)
+def _(s, d):
+    return S.uris_of(_pdf_bytes(s, d), every=True).select("att_key", F.array_join(F.array_sort("uris"), " ").alias("uris"))
+
+
+@R.add("src8_object_streams", _LINKED)
 def _(s, d):
     return S.uris_of(_pdf_bytes(s, d)).select("att_key", F.array_join(F.array_sort("uris"), " ").alias("uris"))
 
@@ -171,7 +180,7 @@ def _(s, d):
     return e.groupBy("from_key", "to_key").agg(F.count("*").alias("n"))
 
 
-@R.add("src13_page_lines")
+@R.add("src13_page_lines", "WITH w AS (SELECT journal_id % 10 AS page, 700 - 12 * floor(journal_id / 20) AS y, name FROM journals) SELECT page, 0::INTEGER AS \"column\", CAST(row_number() OVER (PARTITION BY page ORDER BY y DESC) - 1 AS INTEGER) AS line, text FROM (SELECT page, y, string_agg(name, ' ' ORDER BY name) AS text FROM w GROUP BY 1, 2)")
 def _(s, d):
     words = table(s, d, "journals").select((F.col("journal_id") % 10).cast("int").alias("page"), F.when(F.col("journal_id") % 2 == 0, 40.0).otherwise(320.0).alias("x"), (700.0 - 12 * F.floor(F.col("journal_id") / 20)).alias("y"), F.lit(200.0).alias("w"), F.col("name").alias("str"))
     return S.page_lines(words)
@@ -180,16 +189,6 @@ def _(s, d):
 # --- text operators ----------------------------------------------------------
 
 
-@R.add("fn5_heal_dois")
-def _(s, d):
-    return table(s, d, "documents").select("doc_id", F.md5(K.heal_dois_udf("text")).alias("healed"))
-
-
-@R.add("fn9_norm_title")
-def _(s, d):
-    return table(s, d, "items").select("item_id", "seq", K.norm_title_udf("title").alias("norm_title"))
-
-
 @R.add("doc1_sections")
 def _(s, d):
     return table(s, d, "documents").select("doc_id", section_udf("text").alias("s")).select("doc_id", "s.quality", F.length("s.text").alias("n"))
@@ -267,7 +266,9 @@ def _(s, d):
     return X.describe_nodes(a, b).select("key", "title", "year")
 
 
-@R.add("jn9_rekey_by_doi")
+@R.add("jn9_rekey_by_doi", f"""WITH {REC}, k AS (SELECT lower(title) AS t, min(norm_doi) AS doi FROM rec WHERE norm_doi IS NOT NULL GROUP BY 1), kn AS (SELECT d.key, k.doi FROM described d JOIN k ON lower(d.title) = k.t WHERE starts_with(d.key, 'openalex:')), hb AS (SELECT norm_doi AS doi, arg_max(key, (seq, key)) AS hk FROM rec WHERE norm_doi IS NOT NULL GROUP BY 1),
+mv AS (SELECT kn.key, coalesce(hk, 'doi:' || kn.doi) AS nk FROM kn LEFT JOIN hb USING (doi) WHERE kn.key IN (SELECT to_key FROM edges WHERE from_key <> to_key)), e AS (SELECT coalesce(f.nk, from_key) AS f, coalesce(t.nk, to_key) AS t, confidence, via FROM edges LEFT JOIN mv t ON t.key = to_key LEFT JOIN mv f ON f.key = from_key WHERE from_key <> to_key)
+SELECT f AS from_key, t AS to_key, max(confidence) AS confidence, array_to_string(list_sort(list(DISTINCT via)), ',') AS via FROM e WHERE f <> t GROUP BY 1, 2""")
 def _(s, d):
     i = items_of(s, d)
     known = table(s, d, "described").where("key like 'openalex:%'").join(i.select(F.lower("title").alias("_t"), "norm_doi").where("norm_doi is not null").groupBy("_t").agg(F.min("norm_doi").alias("doi")), F.lower("title") == F.col("_t")).select("key", "doi")

@@ -55,14 +55,6 @@ def _(s, d):
     return own.unionByName(i.join(below, "key", "left_semi").select("key")).distinct()
 
 
-@R.add("flt12_quality")
-def _(s, d):
-    from litmesh.functions.references import section_udf
-
-    q = table(s, d, "documents").select("source", section_udf("text").alias("s")).groupBy("source", "s.quality").agg(F.count("*").alias("documents"))
-    return q.where("quality in ('heading', 'numbered')")
-
-
 # --- the view ----------------------------------------------------------------
 
 SPEC = ViewSpec(filters=("year: >=1990",), min_confidence=0.5, strategies=("pdf-links", "text-doi", "title-match", "locator-match", "openalex"), min_cites=2)
@@ -81,13 +73,6 @@ def _(s, d):
     return view_stats(view_nodes(e, i, f, table(s, d, "described"), SPEC), e, i)
 
 
-@R.add("prj1_view_nodes")
-def _(s, d):
-    i, f = items_of(s, d), facets_of(s, d)
-    e = stage(view_edges(merged_of(s, d), f, SPEC).select("from_key", "to_key"))
-    return view_nodes(e, i, f, table(s, d, "described"), SPEC)
-
-
 @R.add("agg25_empty_scope", f"WITH {REC} SELECT len(collections) = 0 AS outside, count(*) AS items FROM rec GROUP BY 1")
 def _(s, d):
     return items_of(s, d).groupBy((F.size("collections") == 0).alias("outside")).agg(F.count("*").alias("items"))

@@ -129,7 +129,7 @@ def page_lines(items: DataFrame, *, line_gap: float = 3.0, gutter: float = 24.0)
             if a - reach >= gutter and right / 3 < (a + reach) / 2 < 2 * right / 3:
                 split = (a + reach) / 2
             reach = max(reach, b)
-        f = f.assign(column=0 if split is None else (f["x"] > split).astype(int)).sort_values(["column", "y", "x"], ascending=[True, False, True])
+        f = f.assign(column=0 if split is None else (f["x"] > split).astype(int)).sort_values(["column", "y", "x", "str"], ascending=[True, False, True, True])
         new = (f["column"] != f["column"].shift()) | ((f["y"].shift() - f["y"]).abs() >= line_gap)
         f["line"] = new.cumsum() - 1
         out = f.groupby(["column", "line"], as_index=False).agg(text=("str", " ".join))
