@@ -67,6 +67,33 @@ def miss_states(misses: DataFrame, documents: DataFrame) -> DataFrame:
     return misses.join(best, "from_key", "left").groupBy(F.coalesce(state, F.lit("no document")).alias("state")).agg(F.count("*").alias("misses"))
 
 
+def miss_evidence(misses: DataFrame, texts: DataFrame, targets: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Misses (from_key, to_key) with the flags that `miss_causes` reads, taken from the citing works' documents.
+
+    `texts` is (from_key, text, flat, quality), a row for each document, `targets` (to_key, doi, title, author,
+    year, volume, page) of cited works, `links` (from_key, uris). What a target lacks is no evidence.
+    """
+    words = lambda c: F.concat(F.lit(" "), ids.ascii_title(F.col(c)), F.lit(" "))
+    has = lambda hay, x: F.coalesce(F.when(F.length(x) > 0, F.col(hay).contains(x)), F.lit(False))
+    m = misses.select("from_key", "to_key").distinct().join(targets.groupBy("to_key").agg(F.min(F.struct("doi", "title", "author", "year", "volume", "page")).alias("t")), "to_key", "left")
+    docs = texts.select("from_key", F.lower(F.coalesce("text", F.lit(""))).alias("_text"), F.lower(F.coalesce("flat", F.lit(""))).alias("_section"), words("text").alias("_words"), words("flat").alias("_in"), (F.coalesce("quality", F.lit("none")) != "none").alias("_some"))
+    title = F.when(F.length(ids.ascii_title(F.col("t.title"))) >= 20, F.concat(F.lit(" "), ids.ascii_title(F.col("t.title")), F.lit(" ")))
+    author = F.when(F.length(ids.ascii_title(F.col("t.author"))) > 0, F.concat(F.lit(" "), ids.ascii_title(F.col("t.author")), F.lit(" ")))
+    locator = F.concat_ws(" ", F.lit(""), F.lower("t.volume"), F.lower("t.page"), F.lit(""))
+    located = F.when(F.col("t.volume").isNotNull() & F.col("t.page").isNotNull(), locator)
+    doi = F.lower("t.doi")
+    flags = {
+        "doi_in_section": has("_section", doi), "doi_in_text": has("_text", doi), "title_in_section": has("_in", title), "title_in_text": has("_words", title), "locator_in_section": has("_in", located), "locator_in_text": has("_words", located),
+        "author_and_year_in_section": has("_in", author) & has("_in", F.col("t.year").cast("string")), "author_in_text": has("_words", author), "section_found": F.col("_some") & (F.length("_section") > 0), "text_found": F.length("_text") > 0, "document_found": F.lit(True),
+    }
+    seen = m.join(docs, "from_key").groupBy("from_key", "to_key").agg(*(F.bool_or(x).alias(c) for c, x in flags.items()))
+    out = m.select("from_key", "to_key", doi.alias("_doi")).join(seen, ["from_key", "to_key"], "left")
+    if links is None:
+        return out.withColumn("doi_in_links", F.lit(False)).drop("_doi")
+    linked = links.select("from_key", F.explode(F.transform("uris", lambda u: ids.norm_doi(u))).alias("_doi")).where("_doi is not null").distinct().withColumn("doi_in_links", F.lit(True))
+    return out.join(linked, ["from_key", "_doi"], "left").drop("_doi")
+
+
 def miss_causes(misses: DataFrame) -> DataFrame:
     """(cause, misses) of misses with evidence flags: the narrowest piece of evidence that is there names the cause."""
     flags = ("doi_in_links", "doi_in_section", "doi_in_text", "title_in_section", "title_in_text", "locator_in_section", "locator_in_text", "author_and_year_in_section", "author_in_text", "section_found", "text_found", "document_found")

@@ -17,7 +17,7 @@ from litmesh.operators import layout as Y
 from litmesh.plans.build import PROVIDERS
 from litmesh.plans.view import ViewSpec
 from litmesh.queries import _LABEL, _STOP, ID, IS_EXT, MERGED, NS, REC, TITLE, YEAR, R, edges_of, items_of, merged_of
-from litmesh.queries_build import FOLDED, PRINTED, written_texts
+from litmesh.queries_build import FOLDED, PRINTED, printed_of, written_texts
 from litmesh.queries_view import GRADED, graded
 from litmesh.session import table
 
@@ -136,6 +136,20 @@ def _(s, d):
     return written_texts(s, d).select("parent_key", entries(F.element_at(F.split("text", "\nReferences\n"), 2)).alias("entries"))
 
 
+@R.add("agg20_miss_states", f"WITH {GRADED}, {REC}, {PRINTED}, m AS (SELECT t.* FROM t ANTI JOIN p USING (from_key, to_key)) SELECT CASE WHEN from_key IN (SELECT f FROM prt) THEN 'heading' ELSE 'no document' END AS state, count(*) AS misses FROM m GROUP BY 1")
+def _(s, d):
+    docs = written_texts(s, d).select(F.col("parent_key").alias("from_key"), "text", section_udf("text").alias("s")).select("from_key", "text", "s.quality")
+    return V.miss_states(V.missed(*graded(s, d)), docs)
+
+
+@R.add("agg21_evidence")
+def _(s, d):
+    """Causes of the misses by evidence from the texts: what is printed of a target is in the section."""
+    docs = written_texts(s, d).select(F.col("parent_key").alias("from_key"), "text", section_udf("text").alias("s")).select("from_key", "text", "s.flat", "s.quality")
+    targets = printed_of(s, d).select("to_key", "doi", "title", "author", "year", "volume", "page").distinct()
+    return V.miss_causes(V.miss_evidence(V.missed(*graded(s, d)), docs, targets))
+
+
 # --- filter texts ------------------------------------------------------------
 
 _FILTERS = ("year: >2010", "year: 1995-1990", "year: <=1980", 'tag: "review"', "tag: unread, review", "title: thermal", "type: ~book", "year: 2001")

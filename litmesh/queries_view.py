@@ -114,16 +114,6 @@ def _(s, d):
     return V.covered_only(graded(s, d)[0].distinct(), covered).groupBy("strategy").agg(F.count("*").alias("n"))
 
 
-@R.add("agg20_miss_states")
-def _(s, d):
-    from litmesh.functions.references import section_udf
-    from litmesh.queries_build import texts_of
-
-    p, t = graded(s, d)
-    docs = texts_of(s, d).select(F.col("parent_key").alias("from_key"), "text", section_udf("text").alias("s")).select("from_key", "text", "s.quality")
-    return V.miss_states(V.missed(p, t), docs)
-
-
 @R.add("agg21_miss_causes", f"WITH {GRADED}, m AS (SELECT t.* FROM t ANTI JOIN p USING (from_key, to_key)), f AS (SELECT from_key, to_key, to_key LIKE 'doi:%' AS a, from_key IN (SELECT parent_key FROM attachments) AS b FROM m) SELECT CASE WHEN a THEN 'doi_in_links' WHEN b THEN 'document_found' ELSE 'nothing' END AS cause, count(*) AS misses FROM f GROUP BY 1")
 def _(s, d):
     m = V.missed(*graded(s, d))

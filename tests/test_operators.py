@@ -1,5 +1,6 @@
 import itertools
 import math
+import os
 import random
 
 import pandas as pd
@@ -15,6 +16,8 @@ from litmesh.operators import filters as L
 from litmesh.operators import graph as G
 from litmesh.operators import items as I
 from litmesh.operators import resolve as R
+from litmesh.operators import layout as L2
+from litmesh.plans import contracts as C
 from litmesh.plans.build import Provider, Providers
 from litmesh.plans.view import ViewSpec
 from litmesh.sources import library as S
@@ -329,3 +332,118 @@ def test_page_lines(spark):
 def test_synthetic_is_seeded(spark):
     a, b = S.synthetic(spark, 50, seed=4), S.synthetic(spark, 50, seed=4)
     assert a[1].collect() == b[1].collect() and a[0].count() == 50
+
+
+def test_library_grows_with_its_oldest_works_cited_most(spark):
+    (a, e), (b, f) = S.synthetic(spark, 60, seed=2), S.synthetic(spark, 40, seed=2, first=60)
+    keys = {r.key for r in a.collect()} | {r.key for r in b.collect()}
+    ends = [(r.from_key, r.to_key) for r in e.unionByName(f).collect()]
+    assert len(keys) == 100 and {x for x, _ in ends} <= keys and {y for _, y in ends if not y.startswith("doi:")} <= keys
+    late = [y for x, y in ends if x >= "S000000060" and not y.startswith("doi:")]
+    assert sum(y < "S000000050" for y in late) > len(late) / 2
+
+
+def test_collections_in_a_circle_and_deep(spark):
+    tree = spark.createDataFrame([(f"c{i}", f"c{i - 1}") for i in range(1, 40)] + [("c0", "c39")], "collection string, parent string")
+    members = spark.createDataFrame([(f"c{i}", f"k{i}") for i in range(40)] + [("x", "other")], "collection string, key string")
+    assert S.collection_items(members, tree, "c3").count() == 40
+    assert S.collection_items(members, tree, "c3", recursive=False).count() == 1
+
+
+def test_large_files_are_reported_unread(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"/URI (https://x.example)")
+    (tmp_path / "b.pdf").write_bytes(b"/URI (https://y.example)" + b" " * 100)
+    got = {r.path[-5:]: r.uris for r in S.pdf_uris(spark, str(tmp_path), most_bytes=50).collect()}
+    assert got == {"a.pdf": ["https://x.example"], "b.pdf": None}
+
+
+def test_colour_slots(spark):
+    n = spark.createDataFrame([(f"cat{i:02d}", 30 - i % 4) for i in range(25)] + [("", 1)], "category string, items bigint")
+    got = dict(rows(L2.colour_slots(n, slots=10, spare=5), "category", "slot"))
+    first = sorted(got, key=lambda c: (-next(r.items for r in n.collect() if r.category == c), c))
+    assert sorted(got[c] for c in first[:10]) == list(range(10)) and sorted(got[c] for c in first[10:15]) == list(range(10, 15))
+    assert all(got[c] < 10 for c in first[15:]) and L2.colour_slots(n.where("false")).count() == 0
+
+
+def test_contracts(spark):
+    frame = lambda cols: spark.createDataFrame([], ", ".join(f"{c} string" for c in cols))
+    made = {n: (lambda self, c=c: frame(c)) for n, c in C.TABLES.items()}
+    assert C.checked(type("Lib", (), made)())
+    with pytest.raises(ValueError, match="uris lacks att_key"):
+        C.checked(type("Lib", (), made | {"uris": lambda self: frame(["uris"])})())
+    with pytest.raises(TypeError, match="items"):
+        C.checked(object())
+
+
+def test_an_enricher_that_fails_leaves_what_it_has(spark):
+    keys = spark.createDataFrame([("doi:a",), ("doi:b",), ("ref:c",)], "key string")
+    known = lambda ks, name: spark.createDataFrame([(k, f"{name} {k}", ["X"], 2000, "V", 1, False, [name]) for k in ks], "key string, title string, creators array<string>, year int, venue string, cited_by_global bigint, gone boolean, source array<string>")
+
+    def half(asked):
+        raise C.Partial("stopped", known(["doi:a"], "half"))
+
+    def broken(asked):
+        raise RuntimeError("no answer")
+
+    asked = []
+    rest = lambda df: asked.append(sorted(r.key for r in df.collect())) or known(asked[-1], "rest")
+    got, errors = C.enriched(keys, [C.Enricher("half", ("doi",), half), C.Enricher("broken", ("doi",), broken), C.Enricher("rest", ("doi", "ref"), rest)])
+    assert {r.key: r.title for r in got.collect()} == {"doi:a": "half doi:a", "doi:b": "rest doi:b", "ref:c": "rest ref:c"}
+    assert errors == {"half": "stopped", "broken": "no answer"} and asked == [["doi:b", "ref:c"]]
+
+
+def test_only_the_newest_run_counts(spark):
+    runs, seen = C.Newest(spark, "view"), []
+    assert runs.run(lambda newest: spark.range(5).count()) == 5
+
+    def old(newest):
+        assert runs.run(lambda n: "new") == "new"
+        seen.append(newest())
+        return "old"
+
+    assert runs.run(old) is None and seen == [False]
+
+
+def test_throttle():
+    now, out = [0.0], []
+    t = C.Throttle(out.append, clock=lambda: now[0])
+    for x in range(6):
+        t(x)
+        now[0] += 0.09
+    t.done()
+    t.done()
+    assert out == [0, 3, 5]
+
+
+def test_a_failing_strategy_fails_the_build_unless_asked(spark):
+    from litmesh.plans import build as B
+
+    def broken(context):
+        raise KeyError("nothing")
+
+    try:
+        B.PROVIDERS.register(Provider("broken", "Broken", broken, default_enabled=False))
+        context = B.Context.__new__(B.Context)
+        with pytest.raises(RuntimeError, match="broken"):
+            B.build(context, only=["broken"])
+        with pytest.raises(ValueError, match="no strategy gave edges"):
+            B.build(context, only=["broken"], partial=True)
+    finally:
+        B.PROVIDERS.known.pop("broken", None)
+
+
+def test_staged_tables_go_with_their_scope(spark):
+    from litmesh import session
+
+    with session.staged():
+        path = session.stage(spark.range(3)).inputFiles()[0]
+        assert os.path.exists(path.removeprefix("file://"))
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
+def test_evidence_of_misses(spark):
+    miss = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "x"), ("d", "y"), ("e", "x")], "from_key string, to_key string")
+    texts = spark.createDataFrame([("a", "Body. doi:10.1/X", "doi:10.1/X", "heading"), ("b", "On the Long Title of a Work here", "", "none"), ("c", "smith 1999", "Smith 1999", "tail"), ("d", None, None, None)], "from_key string, text string, flat string, quality string")
+    targets = spark.createDataFrame([("x", "10.1/x", "On the long title of a work", "Smith", 1999, "3", "17")], "to_key string, doi string, title string, author string, year int, volume string, page string")
+    got = dict(rows(V.miss_causes(V.miss_evidence(miss, texts, targets)), "cause", "misses"))
+    assert got == {"doi_in_section": 1, "title_in_text": 1, "author_and_year_in_section": 1, "document_found": 1, "nothing": 1}
