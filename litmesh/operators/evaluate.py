@@ -63,8 +63,10 @@ def miss_states(misses: DataFrame, documents: DataFrame) -> DataFrame:
     """(state, misses): how far each missed pair's citing work came: no document, no text, or the quality of its best section."""
     rank = F.when(F.col("text").isNull() | (F.length("text") == 0), 0).otherwise(F.coalesce(F.element_at(F.create_map(*[F.lit(x) for q, r in (("none", 1), ("tail", 2), ("numbered", 3), ("heading", 4)) for x in (q, r)]), F.col("quality")), F.lit(1)))
     best = documents.groupBy("from_key").agg(F.max(rank).alias("r"))
-    state = F.element_at(F.array(*map(F.lit, ("no text", "none", "tail", "numbered", "heading"))), F.col("r") + 1)
-    return misses.join(best, "from_key", "left").groupBy(F.coalesce(state, F.lit("no document")).alias("state")).agg(F.count("*").alias("misses"))
+    state = F.lit("no document")  # where no document was joined; element_at takes a null index for no null
+    for r, name in enumerate(("no text", "none", "tail", "numbered", "heading")):
+        state = F.when(F.col("r") == r, name).otherwise(state)
+    return misses.join(best, "from_key", "left").groupBy(state.alias("state")).agg(F.count("*").alias("misses"))
 
 
 def miss_evidence(misses: DataFrame, texts: DataFrame, targets: DataFrame, links: DataFrame | None = None) -> DataFrame:
