@@ -6,7 +6,7 @@ Every document is read in overlapping windows of words and each is projected int
 Segments whose cosine with a window reaches `least_cosine` are candidates; they are found through an
 inverted file (spherical k-means of the segments, `probes` of 2 sqrt(n) lists a window), so a window's
 cost grows with the root of the number of segments. Of each candidate the bit-parallel longest common
-subsequence of window and passage is taken, 64 words on either side; where it could hold a stretch,
+subsequence of the window with its surroundings and 64 words of the passage is taken; where it could hold a stretch,
 a local alignment of passage and surroundings gives the stretch itself, whatever words were changed,
 left out or put in, and the passage's answers (its names and numbers, the words that tell it from
 others of the same mould) are checked.
@@ -43,7 +43,7 @@ MARKS = re.compile("[̀-ͯ]")
 BLOCK = 16  # words; a window is two blocks, so any 17 words in a row lie within one
 SHINGLE = 5
 WIDE = 8  # words of a stretch shared by passages that may be a statement of its own
-SIDE = 64  # words on each side of the longest common subsequence
+SIDE, NEAR = 64, 48  # words of the passage and of the document in the longest common subsequence
 PIECE = 1024  # words of a passage aligned at a time
 MATCH, OTHER, OPEN, MORE, DENSITY = 4, -9, -6, -4, 0.7  # scores of an alignment: a word kept, changed, the first and each further one put in or left out; and the least share of words kept on either side
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -217,7 +217,7 @@ def randomised_svd(segments: DataFrame, idf: np.ndarray, rank: int, *, rounds: i
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Lengths of the longest common subsequences of the rows of a and b, SIDE words each; 0 in a and -1 in b are no words.
+    """Lengths of the longest common subsequences of the rows of a and b, SIDE words in b; 0 in a and -1 in b are no words.
 
     Bit-parallel (Hyyrö 2004): a row's bits stand for the words of b, and each word of a is one step."""
     hits = np.packbits(a[:, :, None] == b[:, None, :], axis=2, bitorder="little").view(np.uint64)[:, :, 0]
@@ -293,9 +293,9 @@ def _windows(ids: np.ndarray, offsets: np.ndarray, embed: np.ndarray, norm2: np.
         yield doc_of[at + rows], starts[at + rows], x[rows], np.sqrt(np.maximum(e[rows], 1e-9))
 
 
-def _around(flat: np.ndarray, starts: np.ndarray, lo: np.ndarray, hi: np.ndarray, fill: int) -> np.ndarray:
-    """SIDE values of `flat` from each start; `fill` outside of lo <= place < hi."""
-    at = starts[:, None] + np.arange(SIDE)
+def _around(flat: np.ndarray, starts: np.ndarray, lo: np.ndarray, hi: np.ndarray, size: int, fill: int) -> np.ndarray:
+    """`size` values of `flat` from each start; `fill` outside of lo <= place < hi."""
+    at = starts[:, None] + np.arange(size)
     inside = (at >= lo[:, None]) & (at < hi[:, None])
     return np.where(inside, flat[np.clip(at, 0, len(flat) - 1)], fill)
 
@@ -316,7 +316,7 @@ def _searcher(shared, least_cosine: float, least_words: int):
         passages, embed, norm2, lists, of, place = shared.value
         flat = np.concatenate(passages.own)
         sizes = np.array([len(x) for x in passages.own])
-        first = np.cumsum(sizes) - sizes
+        first = np.cumsum(sizes) - sizes  # an empty passage starts where the next does and has no segments
         for batch in batches:
             out: list[tuple] = []
             column = batch.column(1)
@@ -331,11 +331,12 @@ def _searcher(shared, least_cosine: float, least_words: int):
                     continue
                 rows, segments = lists.search(x[near] / length[near, None], least_cosine)
                 # Neighbouring segments that meet one window are looked at together.
-                met = np.unique(np.column_stack([rows, first[of[segments]] + place[segments] // BLOCK * BLOCK, of[segments]]), axis=0)
+                met = np.unique(rows * len(flat) + first[of[segments]] + place[segments] // BLOCK * BLOCK)
                 for i in range(0, len(met), 2048):
-                    w, at, p = near[met[i : i + 2048, 0]], met[i : i + 2048, 1], met[i : i + 2048, 2]
-                    a = _around(ids, starts[w] - BLOCK, offsets[docs[w]], offsets[docs[w] + 1], 0)
-                    b = _around(flat, at - (SIDE - BLOCK) // 2, first[p], first[p] + sizes[p], -1)
+                    w, at = near[met[i : i + 2048] // len(flat)], met[i : i + 2048] % len(flat)
+                    p = np.searchsorted(first, at, "right") - 1
+                    a = _around(ids, starts[w] - (NEAR - 2 * BLOCK) // 2, offsets[docs[w]], offsets[docs[w] + 1], NEAR, 0)
+                    b = _around(flat, at - (SIDE - BLOCK) // 2, first[p], first[p] + sizes[p], SIDE, -1)
                     for k in np.flatnonzero(common_subsequence(a, b) >= least_words).tolist():
                         found.setdefault((int(docs[w[k]]), int(p[k])), set()).add(int(starts[w[k]]))
             tasks = [(d, p, max(int(offsets[d]), a), min(int(offsets[d + 1]), b), j) for (d, p), places in found.items() for a, b in _regions(sorted(places), min(int(sizes[p]), SIDE)) for j in range(0, max(1, int(sizes[p]) - PIECE // 2), PIECE // 2)]
