@@ -183,6 +183,9 @@ def _add_hot(pairs: DataFrame, coded: DataFrame, hot_baskets: DataFrame, min_sup
     one = lambda c, h: by_item.select(F.col("code").cast("long").alias(c), F.col("h").alias(h))
     few = parts.join(one("a", "ha"), "a").join(one("z", "hz"), "z").withColumn("least", F.least("ha", "hz"))
     few = few.where((F.col("least") < min_support) & (F.col("n") + F.col("least") >= min_support))
+    # The rarer item's few baskets come first, so rows stay in proportion to the pairs.
+    rarer = F.col("ha") <= F.col("hz")
+    few = few.select("code", F.when(rarer, F.col("a")).otherwise(F.col("z")).alias("a"), F.when(rarer, F.col("z")).otherwise(F.col("a")).alias("z"))
     member = lambda c: rows.select(F.col("code").cast("long").alias(c), "b")
-    more = few.select("code", "a", "z").join(member("a"), "a").join(member("z"), ["z", "b"]).groupBy("code").agg(F.count("*").alias("n"))
+    more = few.join(member("a"), "a").join(member("z"), ["z", "b"]).groupBy("code").agg(F.count("*").alias("n"))
     return pairs.unionByName(more).groupBy("code").agg(F.sum("n").alias("n"))
