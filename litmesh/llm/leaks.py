@@ -403,13 +403,14 @@ def leaks(documents: DataFrame, eval_items: DataFrame, *, rank: int = 64, least_
             hashes = batch.column(2).to_numpy()
             yield texts(3, np.zeros(len(hashes), np.int64), hashes)
             own = ids[offsets[0] : offsets[-1]]
-            words += np.bincount(np.unique(doc * size + own) % size, minlength=size)
+            there = np.flatnonzero(own)  # words of the evaluation side
+            words += np.bincount(np.unique(doc[there] * size + own[there]) % size, minlength=size)
             if len(own) >= SHINGLE and len(known):
                 h = _shingles(own)
-                within = doc[: len(h)] == doc[SHINGLE - 1 :]
-                place = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                hit = within & (known[place] == h) & (h > 0)
-                carried = np.unique(doc[: len(h)][hit] * len(known) + place[hit])
+                at = np.flatnonzero((h > 0) & (doc[: len(h)] == doc[SHINGLE - 1 :]))
+                place = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
+                hit = known[place] == h[at]
+                carried = np.unique(doc[at[hit]] * len(known) + place[hit])
                 of = carried // len(known)
                 cuts = np.r_[0, np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)] if len(of) else np.zeros(1, np.int64)
                 rows = [(2 * u + beside, hashes[of[i]]) for i, j in zip(cuts, cuts[1:]) for u, beside in sentences.carried(carried[i:j] % len(known))]
