@@ -41,6 +41,8 @@ def locator(s: str) -> str:
 
 def plain(s: str) -> str:
     """Lower-case text without accents."""
+    if s.isascii():
+        return s.lower()
     s = s.translate(WHOLE)
     if not s.isascii():
         s = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
