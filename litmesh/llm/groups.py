@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from litmesh.operators import graph
+from litmesh.operators.items import last_deliveries
 from litmesh.session import stage
 
 
 def latest(items: DataFrame, *columns: str) -> DataFrame:
     """One row for each item_id: of its deliveries the last by (synced_at, seq)."""
-    return items.where(F.col("item_id").isNotNull()).groupBy("item_id").agg(F.max_by(F.struct(*columns), F.struct("synced_at", "seq")).alias("_r")).select("item_id", "_r.*")
+    return last_deliveries(items, "item_id", *columns)
 
 
 def group_pairs(members: DataFrame, group: str, member: str, *, width: int = 256) -> DataFrame:
@@ -34,25 +36,5 @@ def group_pairs(members: DataFrame, group: str, member: str, *, width: int = 256
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", *, rounds: int = 60) -> DataFrame:
-    """Connected components of undirected links: (node, root), root the least node of its component.
-
-    Alternates large-star and small-star steps (Kiveris et al. 2014) until the links no longer
-    change; the number of rounds grows with the logarithm of the longest path. Each round is a
-    table in the shared folder. A node with many neighbours is folded into partial minima before
-    the shuffle; its list of neighbours is never collected.
-    """
-    stars = stage(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col("u") != F.col("v")).distinct())
-    before = None
-    for _ in range(rounds):
-        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stage(large.where(F.col("u") != F.col("v")).distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        stars = stage(small.where(F.col("u") != F.col("v")).distinct())
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    """Connected components of undirected links: (node, root), root the least node of its component."""
+    return graph.components(links.select(F.col(a).alias("a"), F.col(b).alias("b")), rounds).withColumnRenamed("key", "node")
