@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -244,29 +246,30 @@ def term_scores(communities: DataFrame, titles: DataFrame) -> DataFrame:
     return out.select("comm", "term", "n", "df", "size", (F.col("n") / F.col("size") * F.log(1 + F.col("docs") / F.col("df"))).alias("score"))
 
 
-def name_communities(communities: DataFrame, titles: DataFrame, *, terms: int = LABEL_TERMS, keep: int = 50) -> DataFrame:
+def name_communities(communities: DataFrame, titles: DataFrame, *, terms: int = LABEL_TERMS) -> DataFrame:
     """(comm, label, size): a name of the best terms that share no word; names are distinct.
 
-    Of each community the `keep` best terms are looked at, far more than a name needs. Names that
-    two communities would share are widened by the larger's successor's next term, then numbered.
+    A term is picked, the terms that share a word with it are left out, and the next best is picked. Of
+    communities with one name the largest keeps it, the second adds its best term left, the third its
+    second best and so on; names that are then still shared are numbered.
     """
-    order = Window.partitionBy("comm").orderBy(F.desc(F.round("score", 12)), F.desc(F.size(F.split("term", " "))), "term")
-    best = term_scores(communities, titles).withColumn("r", F.row_number().over(order)).where(F.col("r") <= keep)
-    ranked = best.groupBy("comm").agg(F.array_sort(F.collect_list(F.struct("r", "term"))).alias("ts")).select("comm", F.transform("ts", lambda x: x["term"]).alias("ts"))
-    # One pass over a community's terms: a term is taken unless it repeats a word of those taken.
-    step = lambda acc, t: F.when((F.size(acc) < terms) & ~F.exists(acc, lambda x: F.arrays_overlap(F.split(x, " "), F.split(t, " "))), F.concat(acc, F.array(t))).otherwise(acc)
-    named = ranked.select("comm", "ts", F.aggregate("ts", F.array().cast("array<string>"), step).alias("picked"))
+    order = F.struct((-F.round("score", 12)).alias("s"), (-F.size(F.split("term", " "))).alias("w"), "term")
+    scored = stage(term_scores(communities, titles).select("comm", "term", order.alias("o")))
+    left, picks = scored, []
+    for k in range(terms):
+        best = stage(left.groupBy("comm").agg(F.min_by("term", "o").alias("pick")))
+        picks.append(best.withColumn("k", F.lit(k)))
+        left = left.join(best, "comm").where(~F.arrays_overlap(F.split("term", " "), F.split("pick", " "))).drop("pick")
+    picked = stage(reduce(DataFrame.unionByName, picks))
+    names = picked.groupBy("comm").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "pick"))), lambda x: x["pick"]), SEPARATOR).alias("label"))  # `terms` at most
     size = communities.groupBy("comm").agg(F.count("*").alias("size"))
-    named = size.join(named, "comm", "left")
-    label = F.when(F.size(F.coalesce("picked", F.array().cast("array<string>"))) > 0, F.array_join("picked", SEPARATOR)).otherwise(F.lit("cluster"))
-    named = named.withColumn("label", label)
-    w = Window.partitionBy("label").orderBy(F.desc("size"), "comm")
-    named = named.withColumn("i", F.row_number().over(w))
-    spare = F.get(F.filter(F.coalesce("ts", F.array().cast("array<string>")), lambda t: ~F.array_contains("picked", t)), F.col("i") - 2)
-    wide = F.when((F.col("i") > 1) & spare.isNotNull(), F.concat("label", F.lit(SEPARATOR), spare)).otherwise(F.col("label"))
-    named = named.withColumn("label", wide)
-    again = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("size"), "comm"))
-    named = named.withColumn("j", again)
+    named = size.join(names, "comm", "left").withColumn("label", F.coalesce("label", F.lit("cluster")))
+    named = stage(named.withColumn("i", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("size"), "comm"))))
+    twins = named.where("i > 1").select("comm", (F.col("i") - 1).alias("n"))
+    spare = scored.join(twins.select("comm"), "comm", "left_semi").join(picked.select("comm", F.col("pick").alias("term")), ["comm", "term"], "left_anti")
+    spare = spare.withColumn("n", F.row_number().over(Window.partitionBy("comm").orderBy("o"))).join(twins, ["comm", "n"]).select("comm", F.col("term").alias("spare"))
+    named = named.join(spare, "comm", "left").withColumn("label", F.concat_ws(SEPARATOR, "label", "spare"))
+    named = named.withColumn("j", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("size"), "comm")))
     return named.select("comm", F.when(F.col("j") > 1, F.concat("label", F.lit(" ("), F.col("j"), F.lit(")"))).otherwise(F.col("label")).alias("label"), "size")
 
 
