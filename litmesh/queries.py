@@ -487,9 +487,9 @@ def _(s, d):
 
 @R.add("gr3_modularity", "WITH " + COUPLING.format(share=0.5) + f", {CURRENT}, c AS (SELECT key, item_type AS comm FROM cur), p AS (SELECT x.comm AS ca, y.comm AS cb, w FROM cp JOIN c x ON x.key = a JOIN c y ON y.key = b), e AS (SELECT ca AS c, w, CASE WHEN ca = cb THEN w ELSE 0 END AS i FROM p UNION ALL SELECT cb, w, 0 FROM p), t AS (SELECT c, sum(w) AS tot, sum(i) AS i FROM e GROUP BY c), m AS (SELECT sum(tot) AS m FROM t) SELECT round(sum(i / (m / 2) - power(tot / m, 2)), 6) AS modularity, count(*) AS communities FROM t, m")
 def _(s, d):
-    p = stage(G.coupling(edges_of(s, d), table(s, d, "items")))
+    works = G.coupled(edges_of(s, d), table(s, d, "items"))
     c = I.current(table(s, d, "items")).select("key", F.col("item_type").alias("comm"))
-    return G.modularity(p, c).select(F.round("modularity", 6).alias("modularity"), "communities")
+    return G.coupled_modularity(works, c).select(F.round("modularity", 6).alias("modularity"), "communities")
 
 
 @R.add("gr4_term_scores", f"WITH {REC}, doc AS (SELECT key, title, item_type AS comm FROM rec), {TERMS}, tf AS (SELECT comm, term, count(*) AS n FROM term JOIN doc USING (key) GROUP BY 1, 2), df AS (SELECT term, sum(n) AS df FROM tf GROUP BY 1), sz AS (SELECT comm, count(*) AS size FROM doc GROUP BY 1), m AS (SELECT count(*) AS m FROM doc) SELECT comm, term, n, CAST(df AS BIGINT) AS df, size, round(n / size * ln(1 + m / df), 6) AS score FROM tf JOIN df USING (term) JOIN sz USING (comm), m WHERE n >= CASE WHEN size >= 4 THEN 2 ELSE 1 END")

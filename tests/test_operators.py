@@ -96,6 +96,29 @@ def test_coupling_equals_naive(spark, seed):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
 
 
+def crowd(seed=5, n=60):
+    """Works that cite six hubs and some others: (edges, held)."""
+    rng = random.Random(seed)
+    keys = [f"K{i:03d}" for i in range(n)]
+    refs = [(k, r) for k in keys for r in {rng.choice([f"hub:{i}" for i in range(6)]) for _ in range(3)} | {rng.choice(keys + [f"doi:{i}" for i in range(20)]) for _ in range(2)}]
+    return refs, keys[:-5]
+
+
+def test_modularity_of_coupled_works_needs_no_pairs(spark, monkeypatch):
+    refs, keys = crowd(7)
+    e, held = spark.createDataFrame(refs, "from_key string, to_key string"), spark.createDataFrame([(k,) for k in keys], "key string")
+    # Some works have no community, some an unknown one, as an outer join may leave them.
+    c = spark.createDataFrame([(k, None if i % 11 == 0 else "abc"[i % 3]) for i, k in enumerate(keys) if i % 7], "key string, comm string")
+    want = [G.modularity(G.coupling(e, held, direct=d), c).first() for d in (0.5, 0.0)]
+    monkeypatch.setattr(G, "pairs_of", None)
+    monkeypatch.setattr(G, "block_pairs", None)
+    for d, w in zip((0.5, 0.0), want):
+        got = G.coupled_modularity(G.coupled(e, held), c, direct=d).first()
+        assert (got.modularity, got.communities) == (pytest.approx(w.modularity, abs=1e-12), w.communities)
+    none = G.coupled_modularity(G.coupled(e.where("false"), held), c).first()
+    assert (none.modularity, none.communities) == (0.0, 0)
+
+
 def test_block_pairs_of_a_hot_group(spark):
     r = spark.createDataFrame([("g", f"m{i:03d}") for i in range(40)] + [("h", "x"), ("h", "y"), ("i", "z")], "g string, m string")
     pairs = G.block_pairs(r, "g", "m", width=7)
