@@ -104,6 +104,19 @@ def crowd(seed=5, n=60):
     return refs, keys[:-5]
 
 
+def test_coupling_by_blocks_lists_no_pairs_before_they_are_summed(spark):
+    refs, keys = crowd()
+    e, held = spark.createDataFrame(refs, "from_key string, to_key string"), spark.createDataFrame([(k,) for k in keys], "key string")
+    want = naive_coupling(refs, set(keys))
+    for direct in (0.5, 0.0):
+        pairs = G.coupling(e, held, width=13, direct=direct)
+        assert "Aggregate" not in pairs._jdf.queryExecution().toString()  # a pair is made once, whole
+        assert {(r.a, r.b): r.w for r in pairs.collect()} == pytest.approx(naive_coupling(refs, set(keys), direct) if direct else {k: w for k, w in naive_coupling(refs, set(keys), 0.0).items() if w}, abs=1e-9)
+        assert pairs.count() == len({(r.a, r.b) for r in pairs.collect()})
+    assert {(r.a, r.b): r.w for r in G.coupling(e, held).collect()} == pytest.approx(want, abs=1e-9)
+    assert G.coupling(e.where("false"), held).count() == 0
+
+
 def test_modularity_of_coupled_works_needs_no_pairs(spark, monkeypatch):
     refs, keys = crowd(7)
     e, held = spark.createDataFrame(refs, "from_key string, to_key string"), spark.createDataFrame([(k,) for k in keys], "key string")
