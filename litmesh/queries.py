@@ -501,7 +501,7 @@ def _(s, d):
 
 @R.add("gr2_louvain")
 def _(s, d):
-    return G.louvain(stage(G.coupling(edges_of(s, d), table(s, d, "items"))))
+    return G.louvain_coupled(G.coupled(edges_of(s, d), table(s, d, "items")))
 
 
 @R.add("gr5_clusters")

@@ -167,6 +167,29 @@ def test_both_louvains_go_through_all_levels(spark):
     assert all(c <= k for k, c in rows(parallel, "key", "comm"))
 
 
+def test_louvain_of_coupled_works_is_that_of_their_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    # 320 works in eight fields, each with references of its own; five hubs (more than 256 citing works among them) cut across.
+    refs = [(f"K{i:03d}", r) for i in range(320) for r in {f"doi:{i % 8}-{rng.randrange(12)}" for _ in range(4)} | {f"hub:{h}" for h in range(5) if rng.random() < (0.9, 0.45, 0.4, 0.3, 0.85)[h]}]
+    refs += [(f"K{i:03d}", f"K{rng.randrange(320):03d}") for i in range(0, 320, 5)] + [("L0", "L1"), ("L2", "doi:x"), ("L3", "doi:x")]
+    e = spark.createDataFrame(refs, "from_key string, to_key string")
+    held = spark.createDataFrame([(k,) for k in {k for k, _ in refs} | {"L1"}], "key string")
+    for direct, share in ((0.5, 0.95), (0.0, 0.95), (0.5, 0.5)):
+        works = G.coupled(e, held, max_share=share)
+        pairs = G.pairs_of(works, direct=direct)
+        want, q = dict(rows(G.louvain(pairs), "key", "comm")), G.modularity(pairs, G.louvain(pairs)).first()
+        with monkeypatch.context() as m:
+            m.setattr(G, "pairs_of", None)
+            m.setattr(G, "block_pairs", None)
+            got = dict(rows(G.louvain_coupled(works, direct=direct), "key", "comm"))
+        assert got == want
+        assert G.coupled_modularity(works, spark.createDataFrame(list(got.items()), "key string, comm string"), direct=direct).first().modularity == pytest.approx(q.modularity, abs=1e-9)
+    few = spark.createDataFrame([(f"A{i}", f"doi:{j}") for i in range(4) for j in range(2)] + [("B0", "doi:9"), ("B1", "doi:9")], "from_key string, to_key string")
+    few = G.coupled(few, few.select(F.col("from_key").alias("key")), max_share=0.9)
+    assert rows(G.louvain_coupled(few, largest=4), "key", "comm") == [(f"A{i}", "A0") for i in range(4)] + [("B0", "B0"), ("B1", "B0")]
+    assert G.louvain_coupled(works.where("false")).count() == 0
+
+
 def test_coupling_queries_are_registered_over_the_whole_job(spark, sf):
     q = Q.queries()
     pairs = [(r.from_key, r.to_key) for r in spark.read.parquet(f"{sf}/edges.parquet").select("from_key", "to_key").distinct().collect()]
