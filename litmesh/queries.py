@@ -507,8 +507,7 @@ def _(s, d):
 @R.add("gr5_clusters")
 def _(s, d):
     i = items_of(s, d)
-    p = stage(G.coupling(edges_of(s, d), i))
-    c = stage(G.louvain(p))
+    c = stage(G.louvain_coupled(G.coupled(edges_of(s, d), i)))
     return c.join(G.name_communities(c, i).select("comm", "label"), "comm").select("key", "comm", "label")
 
 
