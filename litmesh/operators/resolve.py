@@ -1,19 +1,21 @@
 """From texts and links to candidate edges: the strategies that resolve identifiers, titles and locators.
 
 Each gives candidate edges (from_key, to_key, via, confidence, evidence) of held citing works. Work tables
-are joined on keys with Catalyst's choice of strategy; only the containment join (title-match) holds the
-titles in each task, and checks their number first.
+are joined on keys with Catalyst's choice of strategy; the containment join (title-match) holds a sieve of
+the titles in each task, of a fixed size.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litmesh.functions import ids
 from litmesh.functions.kernels import find_dois_udf, names_journal_udf, norm_title, norm_title_udf
-from litmesh.functions.references import Titles, entries_udf, section_udf
+from litmesh.functions.references import entries_udf, section_udf
 from litmesh.session import stage
 
 #: Confidence by section quality, and factors of parsed references: fixed values.
@@ -57,32 +59,112 @@ def text_doi(secs: DataFrame, items: DataFrame, index: DataFrame, *, least: str
     return _doi_edges(good.select("att_key", "parent_key", find_dois_udf("flat").alias("dois")), index, items, "text-doi", 0.9, externals)
 
 
-def title_match(secs: DataFrame, items: DataFrame, *, least_title: int = 30, reject_impossible_year: bool = True, require_author: bool = False, window: int = 300, most_letters: int = 4_000_000) -> DataFrame:
+class _Rolling:
+    """Hashes of stretches of a text in constant time each, by sums of powers modulo 2^64; equal stretches have equal hashes."""
+
+    BASE = 0x9E3779B97F4A7C15
+    powers = inverse = np.ones(1, np.uint64)
+
+    def __init__(self, text: str):
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        if len(self.powers) <= len(c):
+            steps = np.full(2 * len(c), self.BASE, np.uint64), np.full(2 * len(c), pow(self.BASE, -1, 1 << 64), np.uint64)
+            _Rolling.powers, _Rolling.inverse = (np.cumprod(np.r_[np.uint64(1), x]) for x in steps)
+        self.sums = np.zeros(len(c) + 1, np.uint64)
+        np.cumsum((c + np.uint64(1)) * self.powers[: len(c)], out=self.sums[1:])
+
+    def of(self, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        """Of the stretches of n letters from `at` on."""
+        h = (self.sums[at + n] - self.sums[at]) * self.inverse[at] ^ np.uint64(0x51ED270B) * np.asarray(n).astype(np.uint64)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(32))
+
+
+SIEVE_BITS = 27  # bits of the sieve of titles, as a power of two
+
+
+def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    low = np.uint64((1 << SIEVE_BITS) - 1)
+    return (h & low).astype(np.int64), (h >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
+
+
+def _title_sieve(titles: DataFrame, least: int):
+    """A broadcast Bloom filter of the titles (t) and of their first `least` letters, of a fixed size whatever their number."""
+
+    def mark(batches):
+        for batch in batches:
+            ts = batch.column(0).to_pylist()
+            if ts:
+                rolling, n = _Rolling("".join(ts)), np.array([len(t) for t in ts])
+                at = np.cumsum(n) - n
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*_bits(rolling.of(at, least)), *_bits(rolling.of(at, n))]))], ["bit"])
+
+    marked = titles.select("t").distinct().mapInArrow(mark, "bit long")
+    words = marked.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()  # a word of the sieve each, 2^SIEVE_BITS bits at most
+    sieve = np.zeros(1 << (SIEVE_BITS - 6), np.uint64)
+    sieve[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return titles.sparkSession.sparkContext.broadcast(sieve)
+
+
+def _passes(sieve: np.ndarray, h: np.ndarray) -> np.ndarray:
+    one, two = _bits(h)
+    at = np.flatnonzero(sieve[one >> 6] >> (one & 63).astype(np.uint64) & np.uint64(1))
+    two = two[at]
+    return at[np.flatnonzero(sieve[two >> 6] >> (two & 63).astype(np.uint64) & np.uint64(1))]
+
+
+def _standing(texts: list[str], sieve: np.ndarray, least: int, lengths: list[int]):
+    """(text, offset, letters) of all stretches that may be a title."""
+    whole = "\0".join(texts)
+    if len(whole) < least:
+        return
+    n = np.array([len(t) for t in texts])
+    starts = np.cumsum(n + 1) - n - 1
+    rolling = _Rolling(whole)
+    at = _passes(sieve, rolling.of(np.arange(len(whole) - least + 1), least))
+    of = np.searchsorted(starts, at, side="right") - 1
+    room = starts[of] + n[of] - at
+    for size in lengths:
+        fit = np.flatnonzero(room >= size)
+        if not len(fit):
+            break
+        for i in fit[_passes(sieve, rolling.of(at[fit], size))]:
+            yield int(of[i]), int(at[i] - starts[of[i]]), size
+
+
+def title_match(secs: DataFrame, items: DataFrame, *, least_title: int = 30, reject_impossible_year: bool = True, require_author: bool = False, window: int = 300, most_letters: int = 500_000) -> DataFrame:
     """Edges to held works whose normalised title stands in a reference section.
 
-    A task holds an automaton over a piece of the titles, some 40 bytes for each of at most `most_letters`
-    letters; sections pass by each piece, so a longer list of titles means more passes, not more memory.
+    Sections are read once, whatever the number of titles: stretches whose first `least_title` letters
+    and whose whole pass a sieve of the titles meet the titles in an equi-join. A task hashes `most_letters` or
+    the letters of a longer section at once.
     """
-    titles = stage(items.select("key", norm_title_udf("title").alias("t"), "year", F.coalesce(F.get("creators", 0), F.lit("")).alias("author")).where(F.length("t") >= least_title))
-    letters = titles.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    pieces = max(1, -(-letters // most_letters))
-    spark = secs.sparkSession
-    schema = "att_key string, parent_key string, quality string, to_key string, found_at int, near string"
+    least = max(1, least_title)
+    titles = stage(items.select("key", norm_title_udf("title").alias("t"), "year", F.coalesce(F.get("creators", 0), F.lit("")).alias("author")).where(F.length("t") >= least))
+    lengths = sorted(r[0] for r in titles.select(F.length("t")).distinct().collect())
+    shared = _title_sieve(titles, least)
+    schema = "section long, att_key string, parent_key string, quality string, t string, found_at int, near string"
     text = secs.where("quality <> 'none'").select("att_key", "parent_key", "quality", "flat")
-    out = None
-    for piece in range(pieces):
-        rows = titles.where(F.pmod(F.xxhash64("key"), F.lit(pieces)) == piece).select("key", "t").collect()  # most_letters letters
-        shared = spark.sparkContext.broadcast([tuple(r) for r in rows])
-
-        def scan(frames, shared=shared):
-            screen = Titles(shared.value)
-            for f in frames:
-                found = [(a, p, q, k, at, flat[max(0, at - window) : at + len(t) + window]) for a, p, q, flat in zip(f["att_key"], f["parent_key"], f["quality"], f["flat"].map(norm_title)) for k, t, at in screen.contained(flat)]
-                yield pd.DataFrame(found, columns=["att_key", "parent_key", "quality", "to_key", "found_at", "near"])
-
-        part = text.mapInPandas(scan, schema)
-        out = part if out is None else out.unionByName(part)
-    hit = out.where(F.col("to_key") != F.col("parent_key")).join(titles.select(F.col("key").alias("to_key"), F.col("year").alias("to_year"), "author"), "to_key").join(items.select(F.col("key").alias("parent_key"), F.col("year").alias("from_year")), "parent_key", "left")
+
+    def scan(batches):
+        number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+            while rows:
+                texts, letters = [], 0
+                while letters < most_letters and len(texts) < len(rows):
+                    texts.append(norm_title(rows[len(texts)][3]))
+                    letters += len(texts[-1]) + 1
+                part, rows = rows[: len(texts)], rows[len(texts) :]
+                found = [(number + i, *part[i][:3], texts[i][at : at + n], at, texts[i][max(0, at - window) : at + n + window] if require_author else None) for i, at, n in _standing(texts, shared.value, least, lengths)]
+                number += len(texts)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()))], ["section", "att_key", "parent_key", "quality", "t", "found_at", "near"])
+
+    stands = text.mapInArrow(scan, schema).groupBy("section", "att_key", "parent_key", "quality", "t").agg(F.min_by("near", "found_at").alias("near"))
+    hit = stands.join(titles.select(F.col("key").alias("to_key"), F.col("year").alias("to_year"), "author", "t"), "t").where(F.col("to_key") != F.col("parent_key"))
+    hit = hit.join(items.select(F.col("key").alias("parent_key"), F.col("year").alias("from_year")), "parent_key", "left")
     if reject_impossible_year:
         hit = hit.where(~ids.impossible_year(F.col("from_year"), F.col("to_year")))
     if require_author:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from litmesh import queries as Q
 from litmesh.functions import scores
+from litmesh.functions.kernels import norm_title
 from litmesh.operators import edges as E
 from litmesh.operators import evaluate as V
 from litmesh.operators import export as X
@@ -96,6 +97,23 @@ def test_coupling_equals_naive(spark, seed):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
 
 
+def test_title_match_reads_sections_once_whatever_the_number_of_titles(spark, monkeypatch):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 9)))
+    titles = [" ".join(word() for _ in range(rng.randint(4, 14))) for _ in range(150)]
+    titles += [t[: len(t) - 3].strip() for t in titles[:20]] + titles[20:30] + ["x" * 40, "É" + titles[0]]  # prefixes of others, twins, one word, an accent
+    i = spark.createDataFrame([(f"T{n}", t, 2000, ["Zed"]) for n, t in enumerate(titles)] + [("P", "p", 2010, ["Q"])], "key string, title string, year int, creators array<string>")
+    flat = ["", " ".join(word() for _ in range(30))] + [" ".join([word(), *(word() + x.upper() + ", " + word() for x in rng.sample(titles, 4)), word()]) for _ in range(40)] + ["x" * 90]
+    secs = spark.createDataFrame([(f"A{n % 30}", "P" if n % 3 else f"T{n}", "heading" if n % 5 else "none", x) for n, x in enumerate(flat)], "att_key string, parent_key string, quality string, flat string")
+    want = sorted((r.parent_key, f"T{n}", r.att_key) for r in secs.collect() if r.quality != "none" for n, t in enumerate(titles) if len(norm_title(t)) >= 30 and norm_title(t) in norm_title(r.flat) and r.parent_key != f"T{n}")
+    for most in (100, 500_000):
+        got = R.title_match(secs, i, most_letters=most)
+        assert sorted((r.from_key, r.to_key, r.evidence["attachment"]) for r in got.collect()) == want
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert len(want) > 80 and R.title_match(secs, i, require_author=True).count() == 0
+    assert R.title_match(secs, i.where("key = 'P'")).count() == 0
+
+
 def crowd(seed=5, n=60):
     """Works that cite six hubs and some others: (edges, held)."""
     rng = random.Random(seed)
