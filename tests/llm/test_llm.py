@@ -531,3 +531,41 @@ def test_queries_and_sql(spark, sf):
         at = [[x[0] for x in rel.description].index(c) for c in cols]
         plain = lambda v: round(v, 4) if isinstance(v, float) else v
         assert sorted(repr([plain(r[c]) for c in cols]) for r in df.collect()) == sorted(repr([plain(r[i]) for i in at]) for r in rel.fetchall())
+
+
+def test_matching_crowded_blocks_drop_no_pair_that_can_match(spark):
+    import numpy as np
+
+    M, letters, rng = matching, textnorm.letters, random.Random(6)
+    names = ["wilson a", "willson a", "keller b", "kellar b", "okafor c", "tanaka d"]  # some but for a letter alike
+    titles = ["spectral gaps of random walks on trees", "spectral gaps of random walk on trees", "a note on sparse graph limits", "folding of long chains in solvents"]
+
+    def records(side, n):
+        some = lambda x: x if rng.random() < 0.7 else None
+        out = []
+        for i in range(n):
+            ws, part, lead = M.title_parts(title := rng.choice(titles))
+            venue = some(rng.choice(["annals of graphs", "annals of graph", "chain letters"]))
+            out.append((f"{side}{i:03d}", letters(title), ws, part, lead, [rng.choice(names)] if rng.random() < 0.8 else [], some(rng.choice([1990, 1991, 2005])), venue, rng.choice([None, 7]) if venue == "annals of graphs" else None, some(rng.choice([3, 4])), some(rng.choice(["11", "12"]))))
+        return out
+
+    # The last of each side: one title and author, misspelt, each with attributes that the other lacks.
+    a = records("a", 60) + [("a", "x", "spectral gaps of random walks on trees".split(), "", "", ["wilson a"], 1990, "chain letters", None, None, None)]
+    b = records("b", 60) + [("b", "x", "spectral gaps of random walks on trees".split(), "", "", ["willson"], None, None, None, 4, "12")]
+    held, other = spark.createDataFrame(a, M.SCHEMA), spark.createDataFrame(b, M.SCHEMA)
+    every = {tuple(r) for r in M.candidates(held, other, block=10**9).collect()}
+    found, crowd = M._candidates(held, other, 0, 7)
+    found = {tuple(r) for r in found.collect()}
+    assert ("a", "b") in every - found
+    by = {r[0]: r for r in a + b}
+    weights = [-1.95, 1.12, 0.77, 1.08, -3.63, -2.6, -0.03, 1.53, -1.37, -1.16, 1.37, 0.1, -1.91, 1.3, 0.0, -1.31, 0.82, -1.71, 1.63, -2.92, 1.8, 1.84]
+    for w in (weights, [-3.0] + [rng.uniform(-2, 2) for _ in M.FEATURES]):
+        w, least = np.array(w), 1.05
+        more = M.rest(crowd, w, least, piece=7)
+        more = set() if more is None else {tuple(r) for r in more.collect()}
+        score = {p: w[0] + float(np.dot(w[1:], M.features(by[p[0]], by[p[1]]))) for p in every}
+        assert {p for p in every if score[p] >= least} <= found | more
+        assert more <= every
+        if w[0] == weights[0]:
+            assert ("a", "b") in more and score["a", "b"] >= least and len(more - found) < len(every - found)
+    assert M.rest(crowd, np.array(weights), 50.0) is None
