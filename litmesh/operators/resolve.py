@@ -102,9 +102,13 @@ def _title_sieve(titles: DataFrame, least: int):
 
     marked = titles.select("t").distinct().mapInArrow(mark, "bit long")
     words = marked.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()  # a word of the sieve each, 2^SIEVE_BITS bits at most
+    return titles.sparkSession.sparkContext.broadcast((words.column("word").to_numpy().astype(np.int32), words.column("bits").to_numpy()))  # only words that hold a bit
+
+
+def _opened(words: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     sieve = np.zeros(1 << (SIEVE_BITS - 6), np.uint64)
-    sieve[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    return titles.sparkSession.sparkContext.broadcast(sieve)
+    sieve[words[0]] = words[1].view(np.uint64)
+    return sieve
 
 
 def _passes(sieve: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -148,7 +152,7 @@ def title_match(secs: DataFrame, items: DataFrame, *, least_title: int = 30, rej
     text = secs.where("quality <> 'none'").select("att_key", "parent_key", "quality", "flat")
 
     def scan(batches):
-        number = TaskContext.get().partitionId() << 40
+        number, sieve = TaskContext.get().partitionId() << 40, _opened(shared.value)
         for batch in batches:
             rows = list(zip(*(c.to_pylist() for c in batch.columns)))
             while rows:
@@ -157,7 +161,7 @@ def title_match(secs: DataFrame, items: DataFrame, *, least_title: int = 30, rej
                     texts.append(norm_title(rows[len(texts)][3]))
                     letters += len(texts[-1]) + 1
                 part, rows = rows[: len(texts)], rows[len(texts) :]
-                found = [(number + i, *part[i][:3], texts[i][at : at + n], at, texts[i][max(0, at - window) : at + n + window] if require_author else None) for i, at, n in _standing(texts, shared.value, least, lengths)]
+                found = [(number + i, *part[i][:3], texts[i][at : at + n], at, texts[i][max(0, at - window) : at + n + window] if require_author else None) for i, at, n in _standing(texts, sieve, least, lengths)]
                 number += len(texts)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()))], ["section", "att_key", "parent_key", "quality", "t", "found_at", "near"])

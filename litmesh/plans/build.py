@@ -77,11 +77,11 @@ class Graph:
 
 
 def build(context: Context, *, only: list[str] | None = None, without: tuple[str, ...] = (), offline: bool = True, partial: bool = False) -> Graph:
-    """Runs the chosen strategies. One that fails while it is planned fails the build; with `partial` it is reported in `errors` and the others' edges stand."""
+    """Runs the chosen strategies. One that fails fails the build; with `partial` it is reported in `errors` and the others' edges stand."""
     parts, errors = [], {}
     for p in PROVIDERS.select(only, without, offline):
         try:
-            parts.append(p.derive(context).select(*X.EDGE))
+            parts.append(stage(p.derive(context).select(*X.EDGE)))  # one plan for each: all at once fill the driver's memory
         except Exception as e:  # noqa: BLE001 - one strategy's failure is no other's
             if not partial:
                 raise RuntimeError(f"strategy {p.id} failed") from e
