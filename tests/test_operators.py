@@ -3,7 +3,9 @@ import math
 import os
 import random
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,6 +187,50 @@ def test_both_louvains_go_through_all_levels(spark):
     assert all(c <= k for k, c in rows(parallel, "key", "comm"))
 
 
+def test_louvain_in_rounds_makes_no_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    refs = [(f"K{i:03d}", r) for i in range(400) for r in {f"doi:{i % 8}-{rng.randrange(12)}" for _ in range(4)} | {f"hub:{h}" for h in range(3) if rng.random() < (0.8, 0.75, 0.3)[h]}]
+    refs += [(f"K{i:03d}", f"K{rng.randrange(400):03d}") for i in range(0, 400, 5)] + [("L0", "L1"), ("L2", "doi:x"), ("L3", "doi:x")]
+    e = spark.createDataFrame(refs, "from_key string, to_key string")
+    works = G.coupled(e, spark.createDataFrame([(k,) for k in {k for k, _ in refs} | {"L1"}], "key string"), max_share=0.95)
+    monkeypatch.setattr(G, "pairs_of", None)
+    monkeypatch.setattr(G, "block_pairs", None)
+    for direct, largest in ((0.5, 1000), (0.0, 0)):  # all that is left in one task; by joins
+        want = G.coupled_modularity(works, G.louvain_coupled(works, direct=direct), direct=direct).first().modularity
+        got = G.louvain_coupled(works, direct=direct, largest=largest)
+        got, found = G.coupled_modularity(works, got, direct=direct).first().modularity, dict(rows(got, "key", "comm"))
+        assert got > want - 0.01
+        assert found.keys() >= {k for k, _ in refs if k[0] == "K"} and found["L2"] == found["L3"] == "L2"
+        assert all(c <= k and found[c] == c for k, c in found.items())
+
+
+def test_a_round_finds_the_best_of_all_communities():
+    rng, n, hubs = np.random.default_rng(2), 60, 3
+    cites = np.c_[rng.random((n, hubs)) < (0.7, 0.5, 0.3), rng.random((n, 40)) < 0.05]
+    size, link = cites.sum(axis=1) + rng.integers(1, 9, n), np.triu(rng.random((n, n)) < 0.02, 1)
+    weights = lambda c: (c.astype(int) @ c.T) / np.sqrt(np.outer(size, size)) * (1 - np.eye(n))
+    w = weights(cites) + 0.5 * (link | link.T)
+    degree, two_m = w.sum(axis=1), w.sum()
+    js = [np.concatenate([np.flatnonzero(c) for c in cites.T[hubs:] if c[i]] or [[]]).astype(np.int32) for i in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(js, pa.list_(pa.int32())), pa.array([np.flatnonzero((link | link.T)[i]).astype(np.int32) for i in range(n)], pa.list_(pa.int32()))], ["id", "js", "ds"])
+    for parts in (60, 40, 6):
+        comm = rng.integers(0, parts, n) if parts < n else np.arange(n)
+        comm = np.array([np.flatnonzero(comm == c)[0] for c in comm], np.int32)
+        p = G._Places(comm, size.astype(np.int32), (cites[:, :hubs] @ (1, 2, 4)).astype(np.uint8), degree, hubs)
+        at, to, gain, inside = G._wanted(batch, p, p.fronts(), 0.5, two_m, 1.0)
+        same = comm[:, None] == comm
+        assert p.height(two_m, 1.0) + inside == pytest.approx((w * same).sum() + sum(cites[i, :hubs].sum() / size[i] for i in range(n)) - sum(degree[comm == c].sum() ** 2 for c in set(comm)) / two_m)
+        for i in range(n):
+            others = np.arange(n) != i
+            value = {c: w[i, (comm == c) & others].sum() - degree[i] * degree[(comm == c) & others].sum() / two_m for c in set(comm)}
+            stay, most = value.pop(comm[i]), max([0.0, *value.values()])
+            stay = stay if (comm == comm[i]).sum() > 1 else 0.0
+            if most > stay + 1e-9:
+                assert i in at and gain[at == i][0] == pytest.approx(most - stay)
+            else:
+                assert i not in at
+
+
 def test_louvain_of_coupled_works_is_that_of_their_pairs(spark, monkeypatch):
     rng = random.Random(3)
     # 320 works in eight fields, each with references of its own; five hubs (more than 256 citing works among them) cut across.
